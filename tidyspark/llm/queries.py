@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count, toxicity
-from .common import table
+from . import bpe, token_count, toxicity, warc
+from .common import scratch, table
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_toxicity, op7_bpe, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
+QUERIES = {f.__name__: f for f in (op4_warc, op6_toxicity, op7_bpe, op8_token_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+             g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS r FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN r = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN r <> page_id THEN r END AS refers_to
+        FROM g
+    """,
+}
