@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count, toxicity, warc
+from . import bpe, substring_dedup, token_count, toxicity, warc
 from .common import scratch, table
 
 
@@ -22,11 +22,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.clean(table(spark, sf_dir, "documents")).select("row.doc_id", "n_sentences", "n_removed", "text")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc, op6_toxicity, op7_bpe, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc, op6_toxicity, op7_bpe, op8_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
