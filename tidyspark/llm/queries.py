@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, substring_dedup, token_count, toxicity, warc
+from . import bpe, decontam, substring_dedup, token_count, toxicity, warc
 from .common import scratch, table
 
 
@@ -30,7 +30,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc, op6_toxicity, op7_bpe, op8_token_counts)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
