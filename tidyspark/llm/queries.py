@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, substring_dedup, token_count, toxicity, warc
+from . import bpe, decontam, lm_score, substring_dedup, token_count, toxicity, warc
 from .common import scratch, table
 
 
@@ -34,7 +34,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more the documents are like the conversations than like the documents as a whole."""
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(table(spark, sf_dir, "conversations"), docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
