@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lm_score, minhash, substring_dedup, token_count, toxicity, warc
+from . import ann, bpe, decontam, lm_score, minhash, substring_dedup, token_count, toxicity, warc
 from .common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.clean(table(spark, sf_dir, "documents")).select("row.doc_id", "n_sentences", "n_removed", "text")
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
 
@@ -44,7 +48,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.train(table(spark, sf_dir, "conversations"), docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash, op4_warc, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nn_descent, op3_minhash, op4_warc, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
