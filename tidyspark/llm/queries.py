@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, lm_score, minhash, substring_dedup, token_count, toxicity, warc
+from . import ann, bpe, decontam, lm_score, minhash, substring_dedup, suffix, token_count, toxicity, warc
 from .common import scratch, table
 
 
@@ -13,6 +13,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +52,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.train(table(spark, sf_dir, "conversations"), docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nn_descent, op3_minhash, op4_warc, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nn_descent, op3_minhash, op4_warc, op5_repeats, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination, op10_lm_score)}
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
