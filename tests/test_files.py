@@ -123,5 +123,5 @@ def test_stream_takes_each_row_once(spark, months):
     for k in range(2):
         write(months / "in" / f"{k}.parquet", [row(1), row(1), row(2)], unit="us")
     for _ in range(2):
-        write_available(clean_stream(spark, str(months / "in"), schema, contract, "tpep_pickup_datetime", "400 days"), str(months / "s"), str(months / "cp")).awaitTermination()
+        write_available(clean_stream(spark, str(months / "in"), schema, contract, "tpep_pickup_datetime", "400 days"), str(months / "s"), str(months / "cp")).awaitTermination(90)
     assert spark.read.parquet(str(months / "s")).agg(F.count("*").alias("n")).first().n == 2

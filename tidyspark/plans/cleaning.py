@@ -64,6 +64,8 @@ def enriched(trips: DataFrame, zones: DataFrame, strategy: str | None = None, ex
 def clean_trips(raw: DataFrame, zones: DataFrame, months: int, cast: bool = False, **how) -> DataFrame:
     """The whole plan: canonicalise, filter, drop duplicates, look up, derive. cast: raw already has the contract's cast columns."""
     contract = trip_contract(months)
+    # Some sixty predicates infer each other's constraints; without a join to carry them over, that only costs planning time.
+    zones.sparkSession.conf.set("spark.sql.constraintPropagation.enabled", "false")
     rows = (raw if cast else contract.project(raw)).where(contract.valid()).transform(contract.finish)
     return enriched(dedup.distinct(rows), zones, **how)
 

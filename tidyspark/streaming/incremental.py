@@ -12,6 +12,7 @@ from ..contract import Contract
 
 def clean_stream(spark: SparkSession, folder: str, schema: StructType, contract: Contract, event_time: str, late: str = "7 days") -> DataFrame:
     """Valid canonical rows of files as they arrive, each once within the watermark."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")  # as in the batch plan
     rows = contract.clean(spark.readStream.schema(schema).parquet(folder))
     # Watermarks need a timestamp with the session's zone; equal rows have equal copies of it.
     timed = rows.withColumn("_at", F.col(event_time).cast("timestamp")).withWatermark("_at", late)
