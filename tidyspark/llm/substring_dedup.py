@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, cut
 
 #: A sentence of so many words is a run of its own.
 LONG = 40
@@ -77,6 +77,7 @@ def repeated_spans(docs: DataFrame, least_words: int = 16) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_runs(least_words), RUNS)
     place = F.struct("doc_id", "t", "pos")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
+    firsts = cut(firsts, "first-places")  # a plain shuffle on both sides of the join, so that Spark can split its hot keys
     return found.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "t", "pos", "n")
 
 
