@@ -182,7 +182,7 @@ def marked(docs: DataFrame, length: int = 100) -> DataFrame:
     mixed = firsts.where("mixed").select("h", F.col("first.doc_id").alias("doc_id"), F.struct("h", F.col("first.s").alias("s"), "n").alias("r"), "n")
     shards = max(1, -(-(mixed.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0) // SHARD))
     data = _with(docs, mixed, "inner").mapInArrow(_cut_out(length), "h long, doc_id long, s long, n int, data binary")
-    parts = data.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(lambda rows: _repeats(length)(rows), MARKED)
+    parts = data.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(_repeats(length), MARKED)
     return whole.unionByName(parts)
 
 
