@@ -32,7 +32,7 @@ from .common import cut
 #: Nodes of a block at most, about, and vectors on which the tree is fitted.
 LEAF, SAMPLE = 4096, 16_384
 #: Queries of a group.
-GROUP = 256
+GROUP = 768
 EDGES = "u long, v long, s float, fresh boolean"
 
 
@@ -245,7 +245,7 @@ def _advance(beam: int, width: int):
     return run
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, top: int, beam: int = 400, width: int = 64, rounds: int = 8, starts: int = 4, degree: int = 64) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, top: int, beam: int = 400, width: int = 100, rounds: int = 4, starts: int = 4, degree: int = 64) -> DataFrame:
     """q, node, s: the ``top`` best nodes that greedy search finds for each query (q, qvec, half, own, block, g).
 
     own: the query's own node, or null; block: where it would be; g: its group. width: nodes that a round expands for a
