@@ -36,8 +36,8 @@ COORDINATES = 48
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
 #: Share of pairs at exactly the sought similarity that may agree in fewer tokens.
 MISSED = 1e-7
-#: Leftover pairs per posting that are compared at once.
-AT_ONCE = 4
+#: Pairs left over per posting that are compared at once: before any round of pivots, and after one.
+FEW, AT_ONCE = 2, 20
 
 _random = np.random.default_rng(7)
 _FACTORS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,19 +124,24 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest reachable node) of every end of the edges (a, b): labels pass along edges and jump."""
+def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
+    """node and component (its smallest reachable node) of every end of the edges (a, b): labels pass along edges and jump.
+
+    With so many passes, labels may still be too fine: equal labels are in one component, and stars have one label.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
-    while True:
+    while passes is None or passes > 0:
         passed = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
         nearer = labels.join(passed, "node").select("node", "c", F.least("c", "near").alias("n"))
         jump = labels.select(F.col("node").alias("n"), F.col("c").alias("far"))
         now = cut(nearer.join(jump, "n", "left").select("node", F.least("n", "far").alias("n"), "c"), "labels")
-        moved = now.where("n != c").limit(1).count()
         labels = now.select("node", F.col("n").alias("c"))
-        if not moved:
-            return labels.select("node", F.col("c").alias("component"))
+        if passes is not None:
+            passes -= 1
+        elif not now.where("n != c").limit(1).count():
+            break
+    return labels.select("node", F.col("c").alias("component"))
 
 
 def _postings(classes: DataFrame, match: int) -> DataFrame:
@@ -167,7 +172,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int)
     active = postings.select("rep").distinct()
     signatures = classes.join(active, "rep").select("rep", "signature")
     texts = cut(docs.join(active, docs["doc_id"] == active["rep"]).select("rep", "text"), "texts")
-    labels, links, rounds, m = None, [], 0, 1
+    labels, links, rounds, m = None, [], 0, 4
     while True:
         lists = postings.withColumn("c", F.col("rep"))
         if labels is not None:
@@ -177,7 +182,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int)
         left = sizes.where("k > 1").agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not left["pairs"]:
             break
-        last = left["pairs"] <= AT_ONCE * left["n"]
+        last = left["pairs"] <= (AT_ONCE if rounds else FEW) * left["n"]
         if last:
             open_lists = lists.join(sizes.where("k > 1").select("token"), "token")
             x, y = open_lists.alias("x"), open_lists.alias("y")
@@ -187,13 +192,13 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int)
             pairs = lists.join(pivots, "token").where("c != pc").select(*_pair(F.col("rep"), F.col("p")))
             postings = lists.select("token", "rep").join(pivots.select("token", F.col("p").alias("rep")), ["token", "rep"], "left_anti")
         links.append(cut(_confirmed(pairs.distinct(), signatures, texts, match, width, percent), "links"))
-        labels = components(reduce(DataFrame.unionByName, links))
         rounds, m = rounds + 1, min(64, 4 * m)
         if last:
             break
-    if labels is None:
-        labels = active.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
-    return labels, rounds
+        labels = components(reduce(DataFrame.unionByName, links), passes=2)  # finer than components, which only spares less
+    if not links:
+        return active.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), rounds
+    return components(reduce(DataFrame.unionByName, links)), rounds
 
 
 def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, match: int, width: int, percent: int) -> DataFrame:
