@@ -24,7 +24,7 @@ def brute(docs, items, size=5, coverage=0.8):
             if d is None or i is None:
                 continue
             iw, itm = words_of(it)
-            if not itm:
+            if len(itm) < 2:
                 continue
             k = min(size, len(itm))
             total, lies = len(itm) - k + 1, {}

@@ -7,15 +7,15 @@ words, so a found window also gives the words behind its placeholders: the slots
 the document are one occurrence; it counts if its slots are consistent, which means that equal slots of the item are equal in
 the document and the other way round; a question whose numbers or names were swapped throughout still matches.
 
-Only the windows of the benchmark are ever grouped or sent. Documents stay where they are read: their words are looked up
-in the windows' anchor words (the longest word of each window), and only around a hit is a window hashed. The windows are
-broadcast if a count proves them few, else both sides are joined by a shuffle on the anchor word.
+Only the windows of the benchmark are ever grouped or sent. Documents stay where they are read: their pairs of words are looked
+up among the windows' anchors (the longest pair of neighbours in each window), and only around a hit is a window hashed. The
+windows are broadcast if a count proves them few, else both sides are joined by a shuffle on the anchor.
 
 An item is found in a document if at least ``coverage`` of its windows are. Defined results: items with fewer than five
-words are one window; items and documents without words match nothing; null texts and null ids match nothing; rows that
-share a doc_id count as one document, of rows that share an item_id and a template one
-counts, and other rows that share an item_id are judged each by its number of windows; repeated rows change nothing; empty tables
-give empty results; further columns play no part in the match and come back from ``clean``.
+words are one window; items of a single word, and items and documents without words, match nothing; null texts and null
+ids match nothing; rows that share a doc_id count as one document; of rows that share an item_id and a template one
+counts, and other rows that share an item_id are judged each by its number of windows; repeated rows change nothing; empty
+tables give empty results; further columns play no part in the match and come back from ``clean``.
 """
 
 from __future__ import annotations
@@ -35,22 +35,21 @@ FEW = 200_000
 
 def _even(text: Column) -> Column:
     """Single spaces, and no word without a letter or digit."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[\s ]+", " "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(text, r"[\s\x{A0}]+", " "), F.lit(" "))
     return F.trim(F.regexp_replace(spaced, r" (?:[^\p{L}\p{N} ]+ )+", " "))
 
 
-def _template(even: Column) -> Column:
-    """The template of an evened text, word for word."""
-    names = F.regexp_replace(even, r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{L}\p{M}'’-]*", "<name>")
-    units = F.regexp_replace(names, rf"(?i)(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "<unit>")
-    numbers = F.regexp_replace(units, r"(?<![^ ])[^\p{L}\p{N} <]*\d[\d.,:/]*[^ ]*", "<num>")
-    return F.regexp_replace(F.lower(numbers), r"[^\p{L}\p{M}\p{N}<> ]+", "")
-
-
 def with_words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, words (as written) and template (of equal length) of every row with both a key and a word."""
-    even = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _even(F.col(text).cast("string")).alias("even")).where("even != ''")
-    return even.select(key, F.split("even", " ").alias("words"), F.split(_template(F.col("even")), " ").alias("template"))
+    """key, words (as written) and template (of equal length) of every row with a key; a text without words has one empty word."""
+    even = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _even(F.col(text).cast("string")).alias("even"))
+    names = even.withColumn("t", F.regexp_replace("even", r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})[\p{L}\p{M}'’-]*", "<name>"))
+    units = F.regexp_replace("t", rf"(?i)(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "<unit>")
+    numbers = F.regexp_replace(units, r"(?<![^ ])[^\p{L}\p{N} <]*\d[\d.,:/]*[^ ]*", "<num>")
+    typed = names.withColumn("t", F.when(F.col("t").rlike(r"\d"), numbers).otherwise(F.col("t")))  # no digit: no number, no unit
+    template = F.split(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{M}\p{N}<> ]+", ""), " ")
+    # The lambda keeps this projection out of the generated code of what follows: with the patterns inside, the loop over
+    # words becomes a method larger than the JVM compiles (8000 bytes), and runs some ten times slower.
+    return typed.select(F.transform(F.array(key), lambda x: x)[0].alias(key), F.split("even", " ").alias("words"), template.alias("template"))
 
 
 def _hash(words: Column) -> Column:
@@ -58,14 +57,15 @@ def _hash(words: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Each window of each item: item_id, no, n_windows, hash, width, anchor word, its place in the window, and the slots."""
-    items = with_words(benchmark, "item_id").dropDuplicates(["item_id", "template"]).withColumn("width", F.least(F.lit(size), F.size("template")))
+    """Each window of each item: item_id, no, n_windows, hash, width, anchor (hash of a pair of words), its place, and the slots."""
+    items = with_words(benchmark, "item_id").where("words[0] != ''").dropDuplicates(["item_id", "template"]).withColumn("width", F.least(F.lit(size), F.size("template")))
     last = F.size("template") - F.col("width")
     starts = items.select("item_id", "words", "template", "width", (last + 1).alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("no"))
     cut = starts.select("item_id", "width", "n", "no", F.slice("template", F.col("no") + 1, F.col("width")).alias("template"), F.slice("words", F.col("no") + 1, F.col("width")).alias("slots"))
     plain = F.transform("template", lambda w: F.when(w.startswith("<"), F.lit(0)).otherwise(F.length(w)))
-    anchored = cut.withColumn("offset", F.array_position(plain, F.array_max(plain)).cast("int") - 1)
-    return anchored.select("item_id", "no", F.col("n").alias("n_windows"), "width", "slots", "offset", F.element_at("template", F.col("offset") + 1).alias("anchor"), _hash(F.col("template")).alias("hash"))
+    pairs = F.zip_with(F.slice(plain, F.lit(1), F.col("width") - 1), F.slice(plain, F.lit(2), F.col("width") - 1), lambda x, y: x + y)
+    anchored = cut.where("width > 1").withColumn("offset", F.array_position(pairs, F.array_max(pairs)).cast("int") - 1)
+    return anchored.select("item_id", "no", F.col("n").alias("n_windows"), "width", "slots", "offset", F.xxhash64(F.get("template", F.col("offset")), F.get("template", F.col("offset") + 1)).alias("anchor"), _hash(F.col("template")).alias("hash"))
 
 
 def _pairs(mine: Column, theirs: Column, template: Column) -> Column:
@@ -78,7 +78,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: floa
     """doc_id, item_id, n_windows, n_found, coverage and changed (slots differ somewhere) of each item found in a document."""
     wanted = windows(benchmark, size)
     few = len(wanted.select("hash").take(FEW + 1)) <= FEW
-    words = with_words(docs, "doc_id").select("doc_id", "words", "template", F.posexplode("template").alias("p", "anchor"), F.lit(0).alias("skipped"))
+    words = with_words(docs, "doc_id").select("doc_id", "words", "template", F.posexplode("template").alias("p", "word"), F.lit(0).alias("skipped"))
+    words = words.withColumn("anchor", F.xxhash64("word", F.get("template", F.col("p") + 1))).drop("word")
     side = F.broadcast(wanted) if few else wanted
     if not few:  # a shuffle must not carry whole texts along with every word
         reach = F.greatest(F.col("p") - size + 1, F.lit(0))
