@@ -72,3 +72,19 @@ def test_empty_tables(spark):
     assert lm_score.score(none, model).count() == 0
     one = lm_score.score(frame(spark, ["a b", None]), model).collect()
     assert all(r.score == 0 and math.isfinite(r.target_bits) for r in one)
+
+
+def test_rare_words_and_pairs_count(spark, monkeypatch):
+    """Words and pairs of a corpus of over 200,000 events keep their counts, whatever their share is."""
+    rng = random.Random(3)
+    bulk = [" ".join(rng.choice("red green stone iron rust blue".split()) for _ in range(1000)) for _ in range(450)]
+    monkeypatch.setitem(globals(), "GENERAL", [*bulk, "seldom seen", "seldom seen"])
+    monkeypatch.setitem(globals(), "TARGET", [*bulk[:440], "rare word", "rare word"])
+    monkeypatch.setattr(lm_score, "BLOCK", 200)
+    model = lm_score.train(frame(spark, TARGET), frame(spark, GENERAL))
+    texts = ["rare word", "seldom seen", "word rare", "red green", "never met", None]
+    got = {r.doc_id: r for r in lm_score.score(frame(spark, texts), model).collect()}
+    for i, (n, a, b) in enumerate(brute(texts, 0, 0)):
+        assert got[i].n_events == n
+        assert got[i].target_bits == pytest.approx(a) and got[i].background_bits == pytest.approx(b)
+    assert got[0].score < got[2].score < 0 < got[1].score

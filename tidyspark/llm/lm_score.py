@@ -1,14 +1,18 @@
 """Cross-entropy difference of documents under matched bigram models of a target and a background corpus.
 
-Both models share one vocabulary (every word that makes up at least ``word_share`` of either corpus; other words count as
-one unknown word), one set of bigrams (those of at least ``pair_share`` of either corpus), one order and one smoothing
-(absolute discounting, backing off to unigrams with one added to every count). The larger corpus is scaled down to the
-events of the smaller, so that discounts weigh alike. A document's score is the mean over its words, and the end of the
-text, of the loss under the target less the loss under the background, in bits: low scores are like the target.
+Both models share one vocabulary (every word of either corpus; all others count as one unknown word), one set of bigrams
+(every one of either corpus), one order and one smoothing (absolute discounting, backing off to unigrams with one added to
+every count). The larger corpus is scaled down to the events of the smaller, so that discounts weigh alike. A document's
+score is the mean over its words, and the end of the text, of the loss under the target less the loss under the background,
+in bits: low scores are like the target.
 
-Counts are of every text of both corpora: words and word pairs are counted in each task, shuffled and added up. The shares
-bound the model itself, whatever the size of the corpora: at most 2 / word_share words and 2 / pair_share pairs reach the
-driver and the executors.
+Counts are of every text of both corpora and stay a table: word pairs are counted in each task, shuffled and added up, and
+words are added up from their pairs. Documents are dealt into blocks of about ``BLOCK`` bytes; a block's distinct words and
+pairs are joined to the table, and what the table knows of them goes back to the block. Nothing of the model but sums over
+the corpora reaches the driver. Words and pairs are compared by 64-bit hashes.
+
+Where a caller asks for shares, words that make up less than ``word_share`` of both corpora count as unknown (the others, at
+most 2 / word_share, go to driver and executors), and pairs under ``pair_share`` of both back off.
 
 Defined results: null and empty texts have one event, the end of the text; every input row gives one output row; a corpus
 without text gives a uniform model; empty tables give empty results; other
@@ -17,157 +21,195 @@ columns play no part.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, buckets_for, cut
 
 SCORED = "doc_id long, n_events long, target_bits double, background_bits double"
-#: Entries that a task counts before it hands them on.
-HELD = 400_000
-#: Ids: 0 is the unknown word, 1 the edge of a text; words follow.
-UNKNOWN, EDGE, FIRST = 0, 1, 2
+#: Events that a task holds before it hands their counts on, words whose hashes it remembers, and texts it takes apart at once.
+HELD, REMEMBERED, TEXTS = 4_000_000, 300_000, 256
+#: Bytes of text in a block of documents, about.
+BLOCK = 6_000_000
 DISCOUNT = 0.75
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
+
+
+#: No word is empty or white space.
+EDGE, UNKNOWN = _hash(""), _hash(" ")
+
+
 @dataclass
 class Model:
-    """Losses in bits of both corpora. word: id by word; of a kept pair, sorted by key = before * size + word, its own losses."""
+    """Counts of both corpora. table: key (a word's hash or a pair's key), n0, n1, and for words used0, used1: what their pairs keep after the discount."""
 
-    word: dict
+    table: DataFrame
+    known: frozenset | None  # words that count, where not all do
     size: int
-    keys: np.ndarray
-    pair_bits: np.ndarray  # (pairs, 2)
-    word_bits: np.ndarray  # (size, 2)
-    back_off_bits: np.ndarray  # (size, 2), by the word before
+    events: tuple
+    scale: tuple
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words by side; the empty word counts the texts."""
-    found = (Counter(), Counter())
+class Hashes(dict):
+    """Hash by word, the unknown word's for those outside known."""
+
+    def __init__(self, known: frozenset | None):
+        self.known = known
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for side, counts in enumerate(found):
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([side] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["word", "side", "n"])
-            counts.clear()
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = _hash(word)
+        if word and self.known is not None and found not in self.known:
+            found = UNKNOWN
+        self[word] = found
+        return found
 
-    for batch in batches:
-        for side, text in zip(batch.column("side").to_pylist(), batch.column("text").to_pylist()):
-            found[side].update(words(text))
-            found[side][""] += 1
-        if sum(map(len, found)) > HELD:
-            yield from out()
-    yield from out()
 
+def events_of(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each event of the texts, the word before and the word; the number of events of each text."""
+    before, after, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for i in range(0, len(texts), TEXTS):
+        flat = [""]
+        for text in texts[i : i + TEXTS]:
+            held = len(flat)
+            flat += words(text)
+            flat.append("")
+            lengths.append(len(flat) - held)
+        ids = np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat))
+        before.append(ids[:-1])
+        after.append(ids[1:])
+    return np.concatenate(before), np.concatenate(after), np.array(lengths, np.int64)
 
-def ids_of(text: str | None, word: dict) -> np.ndarray:
-    """The edge, the ids of the words, the edge."""
-    found = words(text)
-    return np.array([EDGE, *(word.get(w, UNKNOWN) for w in found), EDGE], np.int64)
 
+def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return (before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + after.view(np.uint64)).view(np.int64)
 
-def _count_pairs(word: dict):
-    size = len(word) + FIRST
 
+def _count_pairs(known: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
+        hashes, held = Hashes(known), ([], [])
 
         def out() -> Iterator[pa.RecordBatch]:
-            for side, keys in enumerate(held):
-                if keys:
-                    key, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.full(len(key), side, np.int32)), pa.array(n, pa.int64())], ["key", "side", "n"])
-                    keys.clear()
+            for side, found in enumerate(held):
+                if found:
+                    before, after = (np.concatenate(c) for c in zip(*found))
+                    found.clear()
+                    key, first, n = np.unique(pair_keys(before, after), return_index=True, return_counts=True)
+                    counts = [n, np.zeros_like(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, before[first], counts[side], counts[1 - side])], ["key", "before", "n0", "n1"])
 
         events = 0
         for batch in batches:
-            for side, text in zip(batch.column("side").to_pylist(), batch.column("text").to_pylist()):
-                ids = ids_of(text, word)
-                held[side].append(ids[:-1] * size + ids[1:])
-                events += len(ids)
-                if events > 10 * HELD:
-                    yield from out()
-                    events = 0
+            sides, texts = batch.column("side").to_numpy(), batch.column("text").to_pylist()
+            for side in (0, 1):
+                before, after, _ = events_of([t for s, t in zip(sides, texts) if s == side], hashes)
+                if len(before):
+                    held[side].append((before, after))
+                    events += len(before)
+            if events > HELD:
+                yield from out()
+                events = 0
         yield from out()
 
     return run
 
 
-def build(word: dict, counts: np.ndarray, keys: np.ndarray, pairs: np.ndarray) -> Model:
-    """The model from the counts of all ids, (size, 2), and those of the kept pairs, (pairs, 2), by sorted key."""
-    size = len(counts)
-    events = counts.sum(0)
-    least = events.min() if events.min() > 0 else events.max()
-    scale = np.where(events > 0, least / np.maximum(events, 1), 1.0)
-    counts, pairs = counts * scale, pairs * scale
-    unigram = (counts + 1) / (counts + 1).sum(0)
-    before, after = keys // size, keys % size
-    kept, used = np.maximum(pairs - DISCOUNT, 0), np.zeros_like(counts)
-    np.add.at(used, before, kept)
-    # A word ends as many pairs as it starts, so its count is what its pairs add up to.
-    free = np.where(counts > 0, 1 - used / np.maximum(counts, 1e-300), 1.0).clip(1e-9, 1)
-    of_pair = kept / np.maximum(counts[before], 1e-300) + free[before] * unigram[after]
-    return Model(word, size, keys, -np.log2(of_pair), -np.log2(unigram), -np.log2(free))
-
-
-def _by_side() -> list[F.Column]:
-    return [F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(F.lit(0))).alias(f"n{s}") for s in (0, 1)]
+def _pairs(both: DataFrame, known: frozenset | None) -> DataFrame:
+    """key, the word before, and the counts of every pair of both corpora."""
+    found = both.mapInArrow(_count_pairs(known), "key long, before long, n0 long, n1 long")
+    return cut(found.groupBy("key").agg(F.min("before").alias("before"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "lm-pairs")
 
 
-def train(target: DataFrame, background: DataFrame, word_share: float = 5e-6, pair_share: float = 5e-6) -> Model:
+def train(target: DataFrame, background: DataFrame, word_share: float = 0, pair_share: float = 0) -> Model:
     """The matched models of the texts of target and of background."""
     bounded_batches(background.sparkSession)
     text = F.col("text").cast("string").alias("text")
     both = target.select(F.lit(0).alias("side"), text).unionByName(background.select(F.lit(1).alias("side"), text))
-    words = cut(both.mapInArrow(_count_words, "word string, side int, n long").groupBy("word").agg(*_by_side()), "lm-words")
-    # The empty word stands for the edge: as many as there are texts.
-    events = [words.agg(F.sum(c)).first()[0] or 0 for c in ("n0", "n1")]
+    pairs, known = _pairs(both, None), None
+    sums = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    events = (sums["n0"] or 0, sums["n1"] or 0)
     frequent = lambda share: (F.col("n0") >= max(1, share * events[0])) | (F.col("n1") >= max(1, share * events[1]))
-    known = words.where(frequent(word_share) | (F.col("word") == "")).toPandas().sort_values("word")
-    vocabulary = known[known["word"] != ""]
-    word = {w: i + FIRST for i, w in enumerate(vocabulary["word"])}
-    counts = np.zeros((len(word) + FIRST, 2))
-    counts[FIRST:] = vocabulary[["n0", "n1"]].to_numpy(float)
-    counts[EDGE] = known.loc[known["word"] == "", ["n0", "n1"]].sum().to_numpy(float)
-    counts[UNKNOWN] = np.array(events, float) - counts.sum(0)
-    pairs = both.mapInArrow(_count_pairs(word), "key long, side int, n long").groupBy("key").agg(*_by_side())
-    kept = pairs.where(frequent(pair_share)).toPandas().sort_values("key")
-    return build(word, counts, kept["key"].to_numpy(np.int64), kept[["n0", "n1"]].to_numpy(float))
-
-
-def losses(text: str | None, model: Model) -> tuple[int, np.ndarray]:
-    """The events of a text, and its loss in bits under target and background."""
-    ids = ids_of(text, model.word)
-    before, after = ids[:-1], ids[1:]
-    bits = model.back_off_bits[before] + model.word_bits[after]
-    if len(model.keys):
-        key = before * model.size + after
-        at = np.searchsorted(model.keys, key).clip(max=len(model.keys) - 1)
-        hit = model.keys[at] == key
-        bits[hit] = model.pair_bits[at[hit]]
-    return len(after), bits.sum(0)
+    if word_share:
+        often = pairs.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(frequent(word_share))
+        known = frozenset(r["before"] for r in often.select("before").toLocalIterator())
+        pairs = _pairs(both, known)
+    least = min(events) or max(events)
+    scale = tuple(least / n if n else 1.0 for n in events)
+    # Where the discount leaves nothing of a pair in either corpus, its loss is the back-off's.
+    kept = [F.when(frequent(pair_share), F.greatest(F.col(f"n{k}") * F.lit(float(scale[k])) - DISCOUNT, F.lit(0.0))).otherwise(0.0) for k in (0, 1)]
+    # A word ends as many pairs as it starts, so its count is what its pairs add up to.
+    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *(F.sum(kept[k]).alias(f"used{k}") for k in (0, 1))]
+    by_word = pairs.groupBy(F.col("before").alias("key")).agg(*sums)
+    none = F.lit(None).cast("double")
+    table = cut(by_word.unionByName(pairs.where((kept[0] > 0) | (kept[1] > 0)).select("key", "n0", "n1", none.alias("used0"), none.alias("used1"))), "lm-table")
+    size = table.where(F.col("used0").isNotNull() & ~F.col("key").isin(EDGE, UNKNOWN)).count() + 2
+    return Model(table, known, size, events, scale)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_events, the mean loss in bits under target and background, and score: their difference."""
+def _wanted(known: frozenset | None):
+    """The distinct words and pairs of a block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [losses(text, model) for text in batch.column(1).to_pylist()]
-            means = [[b[side] / n for n, b in found] for side in (0, 1)]
-            columns = [batch.column(0), pa.array([n for n, _ in found], pa.int64()), *(pa.array(m, pa.float64()) for m in means)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_events", "target_bits", "background_bits"])
+    def run(block: pa.Table) -> pa.Table:
+        before, after, _ = events_of(block["text"].to_pylist(), Hashes(known))
+        keys = np.concatenate([np.unique(before), np.unique(pair_keys(before, after))])  # every word of a text stands before another or its end
+        return pa.table({"block": pa.array(np.full(len(keys), block["block"][0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
+
+    return run
+
+
+def _losses(known: frozenset | None, size: int, events: tuple, scale: tuple):
+    """doc_id, events and mean losses of a block's documents, given what the table knows of its words and pairs."""
+
+    def run(block: pa.Table, given: pa.Table) -> pa.Table:
+        order = np.argsort(given["key"].to_numpy(), kind="stable")
+        keys = given["key"].to_numpy()[order]
+        columns = {c: np.nan_to_num(given[c].to_numpy().astype(float)[order]) for c in ("n0", "n1", "used0", "used1")}
+
+        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(keys, wanted).clip(max=max(0, len(keys) - 1))
+            return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+        before, after, lengths = events_of(block["text"].to_pylist(), Hashes(known))
+        # A block's words are few beside its events: theirs are looked up once.
+        own, at = np.unique(before, return_inverse=True)
+        after_at = np.searchsorted(own, after)
+        w, w_hit = find(own)
+        p, p_hit = find(pair_keys(before, after))
+        starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else lengths
+        means = []
+        for k in (0, 1):
+            take = lambda c, i, hit: np.where(hit, c[i], 0.0) if len(c) else np.zeros(len(hit))
+            counts, used = take(columns[f"n{k}"], w, w_hit) * scale[k], take(columns[f"used{k}"], w, w_hit)
+            unigram = (counts + 1) / (events[k] * scale[k] + size)
+            free = np.where(counts > 0, 1 - used / np.maximum(counts, 1e-300), 1.0).clip(1e-9, 1)
+            of_pair = np.maximum(take(columns[f"n{k}"], p, p_hit) * scale[k] - DISCOUNT, 0) / np.maximum(counts[at], 1e-300)
+            bits = -np.log2(of_pair + free[at] * unigram[after_at])
+            means.append(np.add.reduceat(bits, starts) / lengths if len(lengths) else bits)
+        return pa.table([block["doc_id"], pa.array(lengths, pa.int64()), *(pa.array(m, pa.float64()) for m in means)], names=["doc_id", "n_events", "target_bits", "background_bits"])
 
-    bounded_batches(docs.sparkSession)
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORED)
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_events, the mean loss in bits under target and background, and score: their difference."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = buckets_for(rows, "text", BLOCK)
+    by_block = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
+    wanted = by_block.applyInArrow(_wanted(model.known), "block long, key long")
+    given = wanted.join(model.table, "key")
+    scored = by_block.cogroup(given.groupBy("block")).applyInArrow(_losses(model.known, model.size, model.events, model.scale), SCORED)
     return scored.withColumn("score", F.col("target_bits") - F.col("background_bits"))
