@@ -61,3 +61,15 @@ def test_columns_and_ties(spark):
 def test_sentences_are_the_text():
     for _, text in corpus(2):
         assert "".join(sd.sentences(text or "")) == (text or "")
+
+
+def test_passages_go_to_their_last_sentence(spark):
+    """Sentences behind the last run that starts in a passage belong to it as well."""
+    sentence = lambda mark, n: " ".join(f"{mark}{i}" for i in range(n)) + "."
+    rows = []
+    for p, lengths in enumerate([(20, 10, 5), (45, 30), (12, 9, 8, 3, 1)]):
+        passage = " ".join(sentence(f"p{p}s{k}w", n) for k, n in enumerate(lengths))
+        rows += [(10 * p + d, f"{sentence(f'a{p}d{d}w', 20)} {passage} {sentence(f'b{p}d{d}w', 20)}") for d in range(3)]
+    got = {r.doc_id: r.text for r in sd.clean(spark.createDataFrame(rows, "doc_id long, text string"), ends=True).select("row.doc_id", "text").collect()}
+    for i, text in rows:
+        assert got[i] == (text if i % 10 == 0 else " ".join([sentence(f"a{i // 10}d{i % 10}w", 20), sentence(f"b{i // 10}d{i % 10}w", 20)]))

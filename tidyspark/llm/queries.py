@@ -27,7 +27,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.clean(table(spark, sf_dir, "documents")).select("row.doc_id", "n_sentences", "n_removed", "text")
+    return substring_dedup.clean(table(spark, sf_dir, "documents"), ends=True).select("row.doc_id", "n_sentences", "n_removed", "text")
 
 
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences that, put end to end, are the text. From every sentence starts one run: the fewest
-consecutive sentences with at least ``least_words`` words, two at least (one of ``LONG`` words counts as several). Runs are
-compared by a 128-bit hash of their lower-cased words over the whole corpus. The first place of a run, by doc_id and then
+A text is cut into sentences that, put end to end, are the text. From every sentence starts one run, and with
+``ends`` one ends at every sentence: the fewest consecutive sentences with at least ``least_words`` words, two at least (one of
+``LONG`` words counts as several). With ``ends``, a repeated passage of whole sentences is covered from its first to its last; without,
+its last sentences may stay. Runs are compared by a 128-bit hash of their lower-cased words over the whole corpus. The first place of a run, by doc_id and then
 by position, stays; the sentences of all its other places are removed.
 
 Occurrences are pre-aggregated by hash before the shuffle, and joined back to the first places by a plain equi-join whose
@@ -37,9 +38,9 @@ def sentences(text: str) -> list[str]:
     return _END.split(text) if text else []
 
 
-def runs(text: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
+def runs(text: str, least_words: int, ends: bool = False) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, 128-bit hash) of each run of text."""
-    words = [s.lower().split() for s in sentences(text)]
+    words, sent = [s.lower().split() for s in sentences(text)], set()
     for i, own in enumerate(words):
         if not own:
             continue
@@ -50,14 +51,24 @@ def runs(text: str, least_words: int) -> Iterator[tuple[int, int, bytes]]:
             n, k, j = n + len(words[j]), k + bool(words[j]), j + 1
         if n >= least_words and (k >= 2 or n >= LONG):
             yield i, j - i, xxhash.xxh3_128_digest(" ".join(run).encode())
+            sent.add((i, j))
+    for j in range(len(words) if ends else 0, 0, -1):
+        if not words[j - 1]:
+            continue
+        n, k, i = len(words[j - 1]), 1, j - 1
+        while (n < least_words or k < 2 and n < LONG) and i > 0:
+            i -= 1
+            n, k = n + len(words[i]), k + bool(words[i])
+        if n >= least_words and (k >= 2 or n >= LONG) and (i, j) not in sent:
+            yield i, j - i, xxhash.xxh3_128_digest(" ".join(w for own in words[i:j] for w in own).encode())
 
 
-def _runs(least_words: int):
+def _runs(least_words: int, ends: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2, ids, ts, at, ns = [], [], [], [], [], []
             for doc_id, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                for i, n, digest in runs(text.as_py() or "", least_words):
+                for i, n, digest in runs(text.as_py() or "", least_words, ends):
                     h1.append(int.from_bytes(digest[:8], "big", signed=True))
                     h2.append(int.from_bytes(digest[8:], "big", signed=True))
                     ids.append(doc_id)
@@ -70,11 +81,11 @@ def _runs(least_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, least_words: int = 16) -> DataFrame:
+def repeated_spans(docs: DataFrame, least_words: int = 16, ends: bool = False) -> DataFrame:
     """doc_id, t (hash of the text), pos and n of each run that is not the first place of its hash."""
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_runs(least_words), RUNS)
+    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_runs(least_words, ends), RUNS)
     place = F.struct("doc_id", "t", "pos")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
     firsts = cut(firsts, "first-places")  # a plain shuffle on both sides of the join, so that Spark can split its hot keys
@@ -95,12 +106,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_sentences", "n_removed"])
 
 
-def clean(docs: DataFrame, least_words: int = 16) -> DataFrame:
+def clean(docs: DataFrame, least_words: int = 16, ends: bool = False) -> DataFrame:
     """row (the input's columns but text), text without the removed sentences, n_sentences and n_removed of every row."""
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text").cast("string")
     spans = (
-        repeated_spans(docs, least_words).groupBy("doc_id", "t")
+        repeated_spans(docs, least_words, ends).groupBy("doc_id", "t")
         .agg(F.collect_set(F.struct("pos", "n")).alias("spans")).withColumnsRenamed({"doc_id": "s_id", "t": "s_t"})
     )
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
@@ -109,7 +120,7 @@ def clean(docs: DataFrame, least_words: int = 16) -> DataFrame:
     return joined.mapInArrow(_remove, f"row {kind}, text string, n_sentences long, n_removed long")
 
 
-def dedup(docs: DataFrame, least_words: int = 16) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = 16, ends: bool = False) -> DataFrame:
     """docs with every column, its texts without repeated spans; documents that lose all their text are left out."""
-    cleaned = clean(docs, least_words).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cleaned = clean(docs, least_words, ends).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return cleaned.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
