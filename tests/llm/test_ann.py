@@ -48,3 +48,19 @@ def test_edge_cases(spark):
     assert got == {(0, 1): (1, 0.5), (0, 2): (2, 0.5), (0, 3): (20, 0.0), (20, 1): (0, 0.0), (20, 2): (1, -0.5), (20, 3): (2, -0.5)}
     assert ann.nearest(frame(spark, good[:1])).count() == 0
     assert ann.nearest(frame(spark, good).limit(0)).count() == 0
+
+
+def test_search_goes_on_to_the_end(spark):
+    """Nodes along half a circle, each linked to the next: a query at one end is entered at the other."""
+    n = 9
+    vec = [[float(np.cos(a)), float(np.sin(a))] for a in np.linspace(np.pi, 0, n)]
+    half = lambda x: np.array([*x, 0], np.float16).tobytes()
+    nodes = spark.createDataFrame([(i, v, half(v), min(i, 1)) for i, v in enumerate(vec)], "node long, vec array<double>, half binary, block long")
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "u long, v long, s float")
+    queries = spark.createDataFrame([(100, vec[-1], half(vec[-1]), None, 0, 0)], "q long, qvec array<double>, half binary, own long, block long, g long")
+    found = ann.search(nodes, graph, queries, 2, beam=3, width=1, starts=1).collect()
+    assert {n - 1, n - 2} <= {r.node for r in found}
+
+
+def test_beams_grow():
+    assert ann.beam_for(100) == ann.beam_for(10_000) == 400 and ann.beam_for(160_000) == 1600

@@ -6,11 +6,13 @@ in double precision.
 
 Building: two trees of hyperplanes, fitted on a bounded sample, deal all nodes into blocks of about ``LEAF``; the first lists are
 each node's nearest within its two blocks. Then, iteration by iteration, the nodes on each other's lists (both ways, hubs held to
-their nearest) are introduced to one another: neighbours of neighbours that are nearer than the last of a list enter it. Centres are joined
+their nearest) are introduced to one another: neighbours of neighbours that are nearer than the last of a list enter it, until hardly
+any edge is new. Lists only get better, so this ends. Centres are joined
 block by block, so that a vector travels once to every block that needs it, and not once for each pair.
 
 Searching: a query starts at nodes of its block, and at its own node where it is in the table. In each round the best
-nodes of its beam that were not visited are expanded by a join with the graph, new nodes are scored, and the best stay.
+nodes of its beam that were not visited are expanded by a join with the graph, new nodes are scored, and the best stay, until every
+node of every beam was visited. A node that left a beam is worse than all that stay, so this ends. Beams grow with the root of the table.
 Queries go through the rounds in groups, so that neither lists nor vectors travel more than once a round to a group.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do null
@@ -19,6 +21,7 @@ ids; of rows that repeat an id the least vector counts; ties go to smaller ids;
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -174,13 +177,13 @@ def _merge(k: int):
     return run
 
 
-def build(nodes: DataFrame, k: int = 32, iterations: int = 2, settled: float = 0.01) -> DataFrame:
-    """u, v, s: up to k near nodes of every node. Stops early when fewer than that share of the edges are new."""
+def build(nodes: DataFrame, k: int = 32, settled: float = 0.01) -> DataFrame:
+    """u, v, s: up to k near nodes of every node. Ends when fewer than that share of the edges are new."""
     node_bucket = F.pmod(F.xxhash64("u"), F.lit(max(1, -(-nodes.count() // 4096))))
     first = [nodes.select(F.col(tree).alias("t"), "node", "half").groupBy("t").applyInArrow(_first_lists(k), EDGES) for tree in ("block", "other")]
     graph = cut(first[0].unionByName(first[1]).withColumn("b", node_bucket).groupBy("b").applyInArrow(_merge(k), EDGES), "graph")
     home = nodes.select(F.col("node").alias("c"), "block")
-    for _ in range(iterations):
+    while True:
         # An edge is seen from both its ends; of those that end in a hub, its nearest count.
         back = graph.select(F.col("v").alias("c"), F.col("u").alias("v"), "s", F.col("fresh"))
         back = back.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("s"), "v"))).where(F.col("r") <= k)
@@ -194,7 +197,7 @@ def build(nodes: DataFrame, k: int = 32, iterations: int = 2, settled: float = 0
         merged = old.unionByName(found).withColumn("b", node_bucket)
         graph = cut(merged.groupBy("b").applyInArrow(_merge(k), EDGES), "graph")
         counts = graph.agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("new")).first()
-        if counts["new"] < settled * counts["n"]:
+        if counts["new"] <= settled * counts["n"]:
             break
     return graph.select("u", "v", "s")
 
@@ -230,7 +233,7 @@ def _advance(beam: int, width: int):
                 continue
             new = np.unique(np.array([v for u in at[own][turn[own]].tolist() for v in lists.get(u, ())], np.int64))
             new = new[~np.isin(new, at[own])]
-            near = x[np.searchsorted(node, new)] @ asked[q[own[0]]] if len(new) else np.zeros(0, np.float32)
+            near = np.einsum("ij,j->i", x[np.searchsorted(node, new)], asked[q[own[0]]]) if len(new) else np.zeros(0, np.float32)  # a score doesn't change between rounds
             nodes_, scores = np.r_[at[own], new], np.r_[s[own], near]
             visited = np.r_[seen[own] | turn[own], np.zeros(len(new), bool)]
             best = np.lexsort((nodes_, -scores))[:beam]
@@ -245,7 +248,12 @@ def _advance(beam: int, width: int):
     return run
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, top: int, beam: int = 400, width: int = 100, rounds: int = 4, starts: int = 4, degree: int = 64) -> DataFrame:
+def beam_for(n: int) -> int:
+    """The beam of a table of n nodes."""
+    return max(400, 4 * math.isqrt(n))
+
+
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, top: int, beam: int, width: int, starts: int = 4, degree: int = 64) -> DataFrame:
     """q, node, s: the ``top`` best nodes that greedy search finds for each query (q, qvec, half, own, block, g).
 
     own: the query's own node, or null; block: where it would be; g: its group. width: nodes that a round expands for a
@@ -261,7 +269,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, top: int, bea
     halves = nodes.select(F.col("node").alias("id"), "half")
     none = lambda kind: F.lit(None).cast(kind)
     asked = queries.select("g", F.lit(2).alias("kind"), F.col("q").alias("id"), none("array<long>").alias("list"), "half")
-    for _ in range(rounds):
+    while True:
         turn = state.where("turn").select("g", F.col("node").alias("u")).distinct().join(links, "u")
         near = turn.select("g", F.explode("list").alias("id")).distinct().join(halves, "id")
         given = turn.select("g", F.lit(0).alias("kind"), F.col("u").alias("id"), "list", none("binary").alias("half"))
@@ -275,7 +283,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, top: int, bea
     return scored(best.select("q", "node"), nodes, queries)
 
 
-def nearest(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 32, iterations: int = 2, beam: int = 400) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 32, beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` nearest rows found for each row whose key is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = cut(valid(vectors, key, vector).withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), F.col("vec"))}), "vectors")
@@ -285,13 +293,14 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_
     members = cut(rows.join(homes, ["k1", "k2"]).select("id", "vec", "node"), "members")
     first = rows.select("id", "k1", "k2").withColumn("r", F.row_number().over(place)).where(F.col("r") <= top + 1).join(homes, ["k1", "k2"]).select("node", "id")
     nodes = _nodes(members, spark)
-    graph = build(nodes, k, iterations)
+    graph = build(nodes, k)
+    beam = beam or beam_for(nodes.count())
     blocks = nodes.select(F.col("node").alias("own"), "block", "half")
     queries = members.where(F.col("id") % every == 0).select(F.col("id").alias("q"), F.col("vec").alias("qvec"), F.col("node").alias("own")).join(blocks, "own")
     queries = cut(queries, "queries")
     groups = max(1, -(-queries.count() // GROUP))
     grouped = queries.withColumn("g", F.pmod(F.xxhash64("q"), F.lit(groups)))
-    found = search(nodes, graph, cut(grouped, "queries"), top + 1, beam)
+    found = search(nodes, graph, cut(grouped, "queries"), top + 1, beam, width=max(1, beam // 4))
     expanded = found.join(first, "node").where("id != q")
     ranked = expanded.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where(F.col("rank") <= top)
     return ranked.select(F.col("q").alias("query_id"), "rank", F.col("id").alias("vec_id"), F.col("s").alias("score"))
