@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-A task cuts the texts that it reads into blocks and numbers the distinct pre-tokens of each block, which turns a
-document into its sequence of word numbers: the pre-tokens with their positions. The distinct words of a block go to
-the tasks that own them by hash; an owner encodes each word once, whatever the number of blocks that hold it, and the
-ids go back to the block, where documents are put together by position. A word that makes up a third of the corpus
-sends one entry for each block. Decoding joins ids with the token-byte table, which is as large as the vocabulary
-file and is read once by each worker.
+A task cuts the texts that it reads into blocks of some 4 million characters and numbers the distinct pre-tokens of each
+block, which turns a document into its sequence of word numbers: the pre-tokens with their positions. The distinct words of a
+block go to the tasks that own them by hash; an owner encodes each word once, whatever the number of blocks that hold it (it
+starts anew after ``KEPT_WORDS`` words, which bounds its memory), and the ids go back to the block, where documents are put
+together by position. A word that makes up a third of the corpus sends one entry for each block. Decoding joins
+ids with the token-byte table, which is as large as the vocabulary file and is read once by each worker.
 
 Defined results: a null text counts as empty (no ids); every input row gives one output row, so repeated rows and
 repeated or null doc_id values are kept as they are; an empty table gives an empty result; other columns of the input
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ from .common import bounded_batches, partitions
 BLOCK = "block long, doc_id long, owner int, payload binary"
 ENCODED_WORDS = "block long, payload binary"
 ENCODED = "doc_id long, n_tokens long, ids binary"
+#: Rows that are decoded at a time.
+DECODED = 64
+#: Distinct words whose ids an owner remembers.
+KEPT_WORDS = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -73,23 +78,27 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.
 
 def _pack(*parts: bytes) -> bytes:
     """Byte strings end to end behind their number and lengths, compressed."""
-    return zlib.compress(np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts), 1)
+    return zstandard.compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts), 1)
 
 
 def _unpack(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(raw, np.int64, n, 8))
-    return [raw[a:b] for a, b in itertools.pairwise([8 * (n + 1), *ends.tolist()])]
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
+    return [raw[a:b] for a, b in itertools.pairwise([4 * (n + 1), *ends.tolist()])]
 
 
-def _pack_numbers(x: np.ndarray) -> bytes:
-    """32-bit numbers with their lowest bytes first, then the next: small numbers compress well so."""
-    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pack_sequence(x: np.ndarray, known: int) -> bytes:
+    """Word numbers of a document. Numbers from ``known`` on were given to it, in order: their first places are zeros."""
+    before = np.maximum.accumulate(np.r_[known - 1, x])[:-1]
+    coded = np.r_[known, np.where(x > before, 0, x + 1)].astype("<u4")
+    return zstandard.compress(coded.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # lowest bytes first: small numbers compress well so
 
 
-def _unpack_numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unpack_sequence(data: bytes) -> np.ndarray:
+    known, *_ = coded = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    coded = coded[1:].astype(np.int64)
+    return np.where(coded == 0, int(known) - 1 + np.cumsum(coded == 0), coded - 1)
 
 
 def _number(pattern: str, owners: int, block_chars: int):
@@ -118,8 +127,8 @@ def _number(pattern: str, owners: int, block_chars: int):
             doc_ids, payloads = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                found = find(text)
-                payloads.append(_pack_numbers(np.fromiter(map(number.__getitem__, found), np.uint32, len(found))))
+                found, known = find(text), len(number)
+                payloads.append(_pack_sequence(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), known))
                 doc_ids.append(doc_id)
                 chars += len(text)
                 if chars >= block_chars:
@@ -150,6 +159,8 @@ def _encode_words(path: str, pattern: str):
             payloads = []
             for payload in batch.column("payload"):
                 numbers, *words = _unpack(payload.as_py())
+                if len(known) > KEPT_WORDS:
+                    known.clear()
                 for word in words:
                     if word not in known:
                         known[word] = np.array(encode(word.decode()), "<u4").tobytes()
@@ -174,14 +185,14 @@ def _reassemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     doc_ids, counts, encoded = [], [], []
     for doc_id, owner, payload in zip(documents.column("doc_id"), documents.column("owner"), documents.column("payload")):
         if not owner.is_valid:
-            ids = gather(flat, starts, lengths, _unpack_numbers(payload.as_py()))
+            ids = gather(flat, starts, lengths, _unpack_sequence(payload.as_py()))
             doc_ids.append(doc_id.as_py())
             counts.append(len(ids))
             encoded.append(ids.tobytes())
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(encoded, pa.binary())})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 32_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, n_tokens and ids (unsigned 32-bit integers, little-endian) of every document.
 
     path: a file of token bytes in base64 and ranks, there on every executor; pattern: what splits texts before the
@@ -202,9 +213,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, lengths = _token_bytes(path)
-        for batch in batches:
-            decoded = [None if x is None else gather(flat, starts, lengths, np.frombuffer(x, "<u4")).tobytes() for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, DECODED):
+                batch = whole.slice(i, DECODED)
+                decoded = [None if x is None else gather(flat, starts, lengths, np.frombuffer(x, "<u4")).tobytes() for x in batch.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join([*fields, "decoded binary"]))
 
