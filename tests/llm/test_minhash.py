@@ -50,10 +50,9 @@ def corpus(seed=3, groups=12):
     return [(1000 - 3 * i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("width", "percent", "at_once"), [(3, 85, 20), (3, 85, 0), (5, 80, 20)])
-def test_equals_brute_force(spark, monkeypatch, width, percent, at_once):
-    monkeypatch.setattr(minhash, "AT_ONCE", at_once)
-    monkeypatch.setattr(minhash, "FEW", min(2, at_once))
+@pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 4096), (3, 85, 4), (5, 80, 4096)])
+def test_equals_brute_force(spark, monkeypatch, width, percent, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, n int, component string").repartition(5)
     got = sorted(tuple(r) for r in minhash.near_duplicates(docs, width, percent).collect())

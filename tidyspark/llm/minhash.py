@@ -4,14 +4,15 @@ Every document becomes the set of its word shingles. Documents with equal sets f
 A class is posted under its signature's coordinate-value pairs (tokens). Two sets of the sought similarity agree in at
 least ``match`` of the ``COORDINATES`` tokens but for one pair in ten million, so tokens are ordered by rarity and of
 those that others share only the first are posted: two classes with ``match`` common tokens meet in one of these (prefix),
-and the long lists of frequent tokens are skipped. Candidates whose full signatures collide often enough are confirmed on
-the full sets.
+and the long lists of frequent tokens are skipped.
 
-What is asked for is components, so a list need not be multiplied out. In each round, every list that still holds several
-components has a few pivots compared with all members of other components, and a pivot leaves its list: its pairs are
-settled. A list of copies of one another falls into one component after a round and is done. The pairs left over between
-components are counted, and compared at once when they are about as many as the postings; until then the number of pivots
-grows fourfold a round. No pair is given up, no list is cut, and no pair within a component is made needlessly.
+What is asked for is components, so a list need not be multiplied out. First come two rounds of stars: every list names one
+pivot (the member with the most shared tokens, then one by hash), collisions of classes with pivots are counted, and each class
+is compared with the pivot it collides with most. That is one pair a class and round, and it merges groups of near copies however
+large. Lists that still hold several components are then merged: within a list, a pair of different components counts its collisions
+in the first list that it shares and nowhere else; from ``match`` on a finer sketch of ``FINE`` coordinates is compared, again with a miss of
+one in ten million; pairs that stay are confirmed on the full sets. Long lists are cut into blocks that meet pairwise, so that no
+task holds a whole one. No pair is given up, no list is cut short, and no pair within a component is made.
 
 Defined results: documents without words have the empty set and are linked with nothing; rows that share a doc_id are one
 node (all of them kept if it is the smallest of its component); rows with a null doc_id take no part, with null as component
@@ -30,45 +31,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, partitions
 
-COORDINATES = 48
+COORDINATES, FINE = 48, 1024
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
+SETS = "rep long, shingles binary, mask long, coarse binary, fine binary"
 #: Share of pairs at exactly the sought similarity that may agree in fewer tokens.
 MISSED = 1e-7
-#: Pairs left over per posting that are compared at once: before any round of pivots, and after one.
-FEW, AT_ONCE = 2, 20
+#: Members of a list that one task compares, and words whose hashes a worker remembers.
+BLOCK, REMEMBERED = 4096, 200_000
 
 _random = np.random.default_rng(7)
 _FACTORS = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDED = _random.integers(1, 2**63, COORDINATES, dtype=np.uint64)
 _TAGS = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(56)
+_FINE_FACTORS = _random.integers(1, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_ADDED = _random.integers(0, 2**32, FINE, dtype=np.uint32)
 
 
-def least_matches(similarity: float) -> int:
-    """The most tokens in which pairs of that similarity agree with a probability of at least 1 - MISSED."""
+def least_matches(similarity: float, coordinates: int = COORDINATES) -> int:
+    """The most coordinates in which pairs of that similarity agree with a probability of at least 1 - MISSED."""
     at, below = 0, 0.0
-    while (below := below + comb(COORDINATES, at) * similarity**at * (1 - similarity) ** (COORDINATES - at)) <= MISSED:
+    while (below := below + comb(coordinates, at) * similarity**at * (1 - similarity) ** (coordinates - at)) <= MISSED:
         at += 1
     return at
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes. A worker hashes each word once."""
 
     def __init__(self, width: int):
-        self.width, self.known = width, {}
+        self.width, self.known = width, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # of bytes: A-Z alone, and the six ASCII white spaces
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        try:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words))
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         if not len(h):
             return h
         width = min(self.width, len(h))
@@ -88,6 +93,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((least >> np.uint64(8)) | _TAGS).view(np.int64)
 
 
+def fine_sketch(shingles: np.ndarray) -> np.ndarray:
+    """One byte of the least 32-bit hash under each of FINE coordinates."""
+    x, least = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32), np.full(FINE, 2**32 - 1, np.uint32)
+    for i in range(0, len(x), 512):
+        least = np.minimum(least, (x[i : i + 512, None] * _FINE_FACTORS + _FINE_ADDED).min(0))
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -106,19 +119,38 @@ def _sketch(width: int):
     return run
 
 
-def _confirm(width: int, percent: int):
-    """Pairs with both texts to those whose sets are similar enough."""
+def _sets(width: int):
+    """Texts with the tokens that their class posts, to sets and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            same, own, good = None, None, []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-                if a != same:  # rows come in the order of a
-                    same, own = a, shingler(x.as_py())
-                other = shingler(y.as_py())
+            out = []
+            for tokens, text in zip(batch.column("tokens"), batch.column("text")):
+                found = shingler(text.as_py())
+                if not len(found):  # another text of the same doc_id
+                    out.append((b"", 0, bytes(4 * COORDINATES), bytes(FINE)))
+                    continue
+                own = signature(found)
+                posted = np.isin(own, tokens.values.to_numpy())
+                mask = int((posted.astype(np.uint64) << np.arange(COORDINATES, dtype=np.uint64)).sum())
+                out.append((found.tobytes(), mask, own.astype(np.uint32).tobytes(), fine_sketch(found).tobytes()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary(), pa.binary()))] if out else [pa.array([], k) for k in (pa.binary(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *columns], ["rep", "shingles", "mask", "coarse", "fine"])
+
+    return run
+
+
+def _confirm(percent: int):
+    """Pairs with both sets to those that are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b")):
+                own, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(own, other, assume_unique=True))
-                good.append(100 * common >= percent * (len(own) + len(other) - common))
+                good.append(common > 0 and 100 * common >= percent * (len(own) + len(other) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -144,70 +176,129 @@ def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     return labels.select("node", F.col("c").alias("component"))
 
 
-def _postings(classes: DataFrame, match: int) -> DataFrame:
-    """token and rep: of the tokens that other classes share, the rarest that a pair with ``match`` matches can't all avoid."""
+def _posted(classes: DataFrame, match: int) -> DataFrame:
+    """rep, shared and tokens: of the tokens that other classes share, the rarest that a pair with ``match`` matches can't all avoid."""
     tokens = classes.select("rep", F.explode("signature").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own")).where(F.size("own") >= match)
-    return own.select("rep", F.explode(F.slice("own", F.lit(1), F.size("own") - match + 1)).alias("t")).select(F.col("t.token").alias("token"), "rep")
-
-
-def _pivots(lists: DataFrame, m: int) -> DataFrame:
-    """Up to m members of each list that holds several components: those of the least hashes, the same in lists that are alike."""
-    least = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "c")).alias(f"p{j}") for j in range(m)]
-    found = lists.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *least).where("lo < hi")
-    return found.select("token", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"p{j}.rep").alias("rep"), F.col(f"p{j}.c").alias("c")) for j in range(m))))).alias("p")).select(
-        "token", F.col("p.rep").alias("p"), F.col("p.c").alias("pc")
-    )
-
-
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
-    """node and component of the classes (rep, signature) that are linked with another one; the number of rounds."""
-    match = least_matches(percent / 100)
-    postings = cut(_postings(classes, match), "postings")
-    active = postings.select("rep").distinct()
-    signatures = classes.join(active, "rep").select("rep", "signature")
-    texts = cut(docs.join(active, docs["doc_id"] == active["rep"]).select("rep", "text"), "texts")
-    labels, links, rounds, m = None, [], 0, 4
-    while True:
-        lists = postings.withColumn("c", F.col("rep"))
-        if labels is not None:
-            lists = postings.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
-        lists = cut(lists, "lists")
-        sizes = lists.groupBy("token", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count(F.lit(1)).alias("k"))
-        left = sizes.where("k > 1").agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
-        if not left["pairs"]:
-            break
-        last = left["pairs"] <= (AT_ONCE if rounds else FEW) * left["n"]
-        if last:
-            open_lists = lists.join(sizes.where("k > 1").select("token"), "token")
-            x, y = open_lists.alias("x"), open_lists.alias("y")
-            pairs = x.join(y, F.col("x.token") == F.col("y.token")).where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    prefix = F.slice("own", F.lit(1), F.size("own") - match + 1)
+    return own.select("rep", F.size("own").alias("shared"), F.transform(prefix, lambda t: t["token"]).alias("tokens"))
+
+
+def _stars(lists: DataFrame, by: Column) -> DataFrame:
+    """a, b: each class with the pivot that it collides with most often, of another component. A list's pivot is its greatest member ``by``."""
+    pivots = lists.groupBy("token").agg(F.max(F.struct(by.alias("by"), "rep", "c")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    met = lists.join(pivots.select("token", F.col("p.rep").alias("p"), F.col("p.c").alias("pc")), "token").where("c != pc")
+    counted = met.groupBy("rep", "p").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("rep").agg(F.max(F.struct("n", F.xxhash64("p").alias("h"), "p")).alias("best"))
+    return best.select(F.col("rep").alias("a"), F.col("best.p").alias("b"))
+
+
+def _open_blocks(lists: DataFrame, block: int) -> DataFrame:
+    """token, x, y, i, rep, c: members of the lists with several components, once for each pair of blocks x <= y that its block i meets in.
+
+    A list of up to ``block`` members is one block. A longer one is cut; blocks of its largest component don't meet each other.
+    """
+    sizes = lists.groupBy("token", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "c")).alias("big")).where("k > 1")
+    long_list = F.col("n") > block
+    others = F.when(long_list, F.ceil(2 * (F.col("n") - F.col("big.n")) / block)).otherwise(1).cast("int")
+    largest = F.when(long_list, F.ceil(2 * F.col("big.n") / block)).otherwise(0).cast("int")
+    rows = lists.join(sizes.select("token", others.alias("others"), largest.alias("largest"), F.col("big.c").alias("big")), "token")
+    in_largest = (F.col("largest") > 0) & (F.col("c") == F.col("big"))
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("i", F.when(in_largest, F.col("others") + dealt(F.col("largest"))).otherwise(dealt(F.col("others"))))
+    partners = F.sequence(F.lit(0), F.when(in_largest, F.col("others") - 1).otherwise(F.col("others") + F.col("largest") - 1))
+    rows = rows.select("token", "i", "rep", "c", F.explode(partners).alias("j"))
+    return rows.select("token", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rep", "c")
+
+
+def _meet(match: int, fine_match: int):
+    """Rows of list blocks, in order, to the pairs of different components that collide often enough and share no earlier list."""
+    names = ("token", "x", "y", "i", "rep", "c", "mask")
+    ways = np.arange(COORDINATES, dtype=np.uint64)
+
+    def pairs(g: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = g["x"][0], g["y"][0]
+        c, found, n = g["c"], *np.unique(g["c"], return_counts=True)
+        if len(found) < 2:
+            return
+        earlier = (np.uint64(1) << (g["token"][:1].view(np.uint64)[0] >> np.uint64(56))) - np.uint64(1)
+        big = c == found[n.argmax()]
+        if x == y:  # pairs within the largest component are none, so the others meet all
+            left, right = np.flatnonzero(~big), np.arange(len(c))
         else:
-            pivots = cut(_pivots(lists, m), "pivots")
-            pairs = lists.join(pivots, "token").where("c != pc").select(*_pair(F.col("rep"), F.col("p")))
-            postings = lists.select("token", "rep").join(pivots.select("token", F.col("p").alias("rep")), ["token", "rep"], "left_anti")
-        links.append(cut(_confirmed(pairs.distinct(), signatures, texts, match, width, percent), "links"))
-        rounds, m = rounds + 1, min(64, 4 * m)
-        if last:
-            break
-        labels = components(reduce(DataFrame.unionByName, links), passes=2)  # finer than components, which only spares less
-    if not links:
-        return active.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0), rounds
-    return components(reduce(DataFrame.unionByName, links)), rounds
+            left, right = np.flatnonzero(g["i"] == x), np.flatnonzero(g["i"] == y)
+        for s in range(0, len(left), 64):
+            l = left[s : s + 64]
+            near = np.zeros((len(l), len(right)), np.uint8)
+            for k in range(COORDINATES):
+                near += g["coarse"][l, k][:, None] == g["coarse"][right, k][None, :]
+            near = (near >= match) & (c[l][:, None] != c[right][None, :])
+            if x == y:
+                near &= big[right][None, :] | (l[:, None] < right[None, :])
+            a, b = np.nonzero(near)
+            a, b = l[a], right[b]
+            for t in range(0, len(a), 4096):
+                p, q = a[t : t + 4096], b[t : t + 4096]
+                same = ((g["coarse"][p] == g["coarse"][q]).astype(np.uint64) << ways).sum(1, dtype=np.uint64)
+                first = (same & g["mask"][p].view(np.uint64) & g["mask"][q].view(np.uint64) & earlier) == 0
+                p, q = p[first], q[first]
+                close = (g["fine"][p] == g["fine"][q]).sum(1) >= fine_match
+                yield g["rep"][p[close]], g["rep"][q[close]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(groups: list[dict]) -> Iterator[pa.RecordBatch]:
+            made = [p for g in groups for p in pairs(g)]
+            if made:
+                a, b = (np.concatenate(m) for m in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        rest: dict = {}
+        for batch in batches:
+            rows = {k: batch.column(k).to_numpy() for k in names}
+            for k, width, kind in (("coarse", COORDINATES, np.uint32), ("fine", FINE, np.uint8)):
+                rows[k] = np.frombuffer(b"".join(batch.column(k).to_pylist()), kind).reshape(-1, width)
+            if rest:
+                rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
+            if not len(rows["x"]):
+                continue
+            new = (np.diff(rows["token"]) != 0) | (np.diff(rows["x"]) != 0) | (np.diff(rows["y"]) != 0)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(rows["x"])]
+            yield from out([{k: v[i:j] for k, v in rows.items()} for i, j in zip(cuts[:-2], cuts[1:-1])])
+            rest = {k: v[cuts[-2] :].copy() for k, v in rows.items()}
+        if rest:
+            yield from out([rest])
+
+    return run
 
 
-def _confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, match: int, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with enough common tokens whose full sets are similar enough."""
-    of = lambda df, column, end: df.select(F.col("rep").alias(end), F.col(column).alias(f"{column}_{end}"))
-    close = pairs.join(of(signatures, "signature", "b"), "b").join(of(signatures, "signature", "a"), "a")
-    close = close.where(F.size(F.array_intersect("signature_a", "signature_b")) >= match).select("a", "b")
-    both = close.join(of(texts, "text", "b"), "b").join(of(texts, "text", "a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(width, percent), "a long, b long")
+def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, rounds: int = 2, block: int | None = None) -> DataFrame:
+    """node and component of the classes (rep, signature) that are linked with another one."""
+    spark, match = classes.sparkSession, least_matches(percent / 100)
+    fine_match = least_matches(percent / 100 + (1 - percent / 100) / 256, FINE)
+    active = cut(_posted(classes, match), "posted")
+    sets = cut(docs.join(active, docs["doc_id"] == active["rep"]).select("rep", "tokens", "text").mapInArrow(_sets(width), SETS), "sets")
+    postings = active.select(F.explode("tokens").alias("token"), "rep", "shared")
+    links, labels = [], None
+    lists = postings.withColumn("c", F.col("rep"))
+    for r in range(rounds):
+        by = F.col("shared") if r == 0 else F.xxhash64("rep", F.lit(r))
+        links.append(cut(_confirmed(_stars(lists, by), sets, percent), "links"))
+        labels = components(reduce(DataFrame.unionByName, links), passes=3)  # finer than components, which only spares less
+        lists = postings.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("token", "rep", "shared", F.coalesce("component", "rep").alias("c"))
+    lists = cut(lists, "lists")
+    met = _open_blocks(lists, block or BLOCK).join(sets.drop("shingles"), "rep")
+    met = met.repartition(partitions(spark), "token", "x", "y").sortWithinPartitions("token", "x", "y")
+    pairs = cut(met.select("token", "x", "y", "i", "rep", "c", "mask", "coarse", "fine").mapInArrow(_meet(match, fine_match), "a long, b long"), "pairs")
+    links.append(cut(_confirmed(pairs, sets, percent), "links"))
+    return components(reduce(DataFrame.unionByName, links))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    of = lambda end: sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"shingles_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -222,7 +313,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"), F.max("doc_id").alias("last"))
     classes = cut(classes, "classes")
-    labels, _ = link_classes(classes, texts, width, percent)
+    labels = link_classes(classes, texts, width, percent)
     # Classes of one document that are linked with nothing are their own component, and need no join.
     homes = classes.join(labels, classes["rep"] == labels["node"], "left").where("last != rep or component is not null")
     homes = homes.select("k1", "k2", F.coalesce("component", "rep").alias("home")).withColumn("n_home", F.lit(1))
