@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions
+from .packing import pack, pack_sequence, unpack, unpack_sequence
 
 #: A document of a block (owner is null, payload its word numbers), or words of a block for one owner.
 BLOCK = "block long, doc_id long, owner int, payload binary"
@@ -76,31 +76,6 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.
     return flat[np.repeat(starts[which] - (ends - n), n) + np.arange(total)]
 
 
-def _pack(*parts: bytes) -> bytes:
-    """Byte strings end to end behind their number and lengths, compressed."""
-    return zstandard.compress(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts), 1)
-
-
-def _unpack(data: bytes) -> list[bytes]:
-    raw = zstandard.decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)
-    return [raw[a:b] for a, b in itertools.pairwise([4 * (n + 1), *ends.tolist()])]
-
-
-def _pack_sequence(x: np.ndarray, known: int) -> bytes:
-    """Word numbers of a document. Numbers from ``known`` on were given to it, in order: their first places are zeros."""
-    before = np.maximum.accumulate(np.r_[known - 1, x])[:-1]
-    coded = np.r_[known, np.where(x > before, 0, x + 1)].astype("<u4")
-    return zstandard.compress(coded.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # lowest bytes first: small numbers compress well so
-
-
-def _unpack_sequence(data: bytes) -> np.ndarray:
-    known, *_ = coded = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    coded = coded[1:].astype(np.int64)
-    return np.where(coded == 0, int(known) - 1 + np.cumsum(coded == 0), coded - 1)
-
-
 def _number(pattern: str, owners: int, block_chars: int):
     """Documents to sequences of word numbers; after the documents of a block, its words by owner."""
 
@@ -120,7 +95,7 @@ def _number(pattern: str, owners: int, block_chars: int):
             dealt = defaultdict(list)
             for word, i in number.items():
                 dealt[zlib.crc32(word := word.encode()) % owners].append((i, word))
-            payloads = [_pack(np.array([i for i, _ in own], "<u4").tobytes(), *(w for _, w in own)) for own in dealt.values()]
+            payloads = [pack(np.array([i for i, _ in own], "<u4").tobytes(), *(w for _, w in own)) for own in dealt.values()]
             return rows([None] * len(dealt), list(dealt), payloads)
 
         for batch in batches:
@@ -128,7 +103,7 @@ def _number(pattern: str, owners: int, block_chars: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 found, known = find(text), len(number)
-                payloads.append(_pack_sequence(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), known))
+                payloads.append(pack_sequence(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), known))
                 doc_ids.append(doc_id)
                 chars += len(text)
                 if chars >= block_chars:
@@ -158,7 +133,7 @@ def _encode_words(path: str, pattern: str):
         for batch in batches:
             payloads = []
             for payload in batch.column("payload"):
-                numbers, *words = _unpack(payload.as_py())
+                numbers, *words = unpack(payload.as_py())
                 if len(known) > KEPT_WORDS:
                     known.clear()
                 for word in words:
@@ -166,7 +141,7 @@ def _encode_words(path: str, pattern: str):
                         known[word] = np.array(encode(word.decode()), "<u4").tobytes()
                 ids = [known[word] for word in words]
                 lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                payloads.append(_pack(numbers, lengths.astype("<u4").tobytes(), b"".join(ids)))
+                payloads.append(pack(numbers, lengths.astype("<u4").tobytes(), b"".join(ids)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(payloads, pa.binary())], ["block", "payload"])
 
     return run
@@ -174,7 +149,7 @@ def _encode_words(path: str, pattern: str):
 
 def _reassemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one block, from their word numbers and the ids of its words."""
-    parts = [[np.frombuffer(x, "<u4") for x in _unpack(p.as_py())] for p in words.column("payload")]
+    parts = [[np.frombuffer(x, "<u4") for x in unpack(p.as_py())] for p in words.column("payload")]
     size = max((int(n.max()) + 1 for n, _, _ in parts if len(n)), default=0)
     starts, lengths, at = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
     for numbers, own, ids in parts:
@@ -185,7 +160,7 @@ def _reassemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     doc_ids, counts, encoded = [], [], []
     for doc_id, owner, payload in zip(documents.column("doc_id"), documents.column("owner"), documents.column("payload")):
         if not owner.is_valid:
-            ids = gather(flat, starts, lengths, _unpack_sequence(payload.as_py()))
+            ids = gather(flat, starts, lengths, unpack_sequence(payload.as_py()))
             doc_ids.append(doc_id.as_py())
             counts.append(len(ids))
             encoded.append(ids.tobytes())

@@ -1,28 +1,26 @@
 """Cross-entropy difference of documents under matched bigram models of a target and a background corpus.
 
-Both models share one vocabulary (every word of either corpus; all others count as one unknown word), one set of bigrams
-(every one of either corpus), one order and one smoothing (absolute discounting, backing off to unigrams with one added to
-every count). The larger corpus is scaled down to the events of the smaller, so that discounts weigh alike. A document's
-score is the mean over its words, and the end of the text, of the loss under the target less the loss under the background,
-in bits: low scores are like the target.
-
-Counts are of every text of both corpora and stay a table: word pairs are counted in each task, shuffled and added up, and
-words are added up from their pairs. Documents are dealt into blocks of about ``BLOCK`` bytes; a block's distinct words and
-pairs are joined to the table, and what the table knows of them goes back to the block. Nothing of the model but sums over
-the corpora reaches the driver. Words and pairs are compared by 64-bit hashes.
-
-Where a caller asks for shares, words that make up less than ``word_share`` of both corpora count as unknown (the others, at
-most 2 / word_share, go to driver and executors), and pairs under ``pair_share`` of both back off.
-
-Defined results: null and empty texts have one event, the end of the text; every input row gives one output row; a corpus
-without text gives a uniform model; empty tables give empty results; other
-columns play no part.
+Both models share one vocabulary (the words of both corpora), one order and one smoothing: a bigram's share of its first
+word's count, mixed by ``MIX`` with the second word's share of all events, to whose count ``ADDED`` is added for every word. A
+document's score is the mean over its words, and the end of the text, of the loss under the target less the loss under the
+background, in bits: low scores are like the target.
+
+Counts are of every word and every pair of words of every text of both corpora; none is dropped, however rare. A task cuts the texts
+that it reads into blocks and takes each apart once: documents become sequences of word numbers, and the block's distinct words and pairs, as sorted
+64-bit hashes with their counts, go to the tasks that own them by range. An owner adds up the counts of all blocks and answers
+each block that has documents to score, in the order of its question. A word or pair that makes up a third of the corpus sends one entry for each
+block. Nothing of the model but the number of events reaches the driver.
+
+Defined results: null and empty texts have one event, the end of the text; every input row gives one output row, so repeated rows and
+repeated or null doc_id values stay; a corpus without text gives a uniform model; empty tables give empty results; other
+columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,186 +28,186 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, buckets_for, cut
+from .common import bounded_batches, partitions
+from .packing import pack, pack_numbers, pack_sequence, unpack, unpack_numbers, unpack_sequence
 
 SCORED = "doc_id long, n_events long, target_bits double, background_bits double"
-#: Events that a task holds before it hands their counts on, words whose hashes it remembers, and texts it takes apart at once.
-HELD, REMEMBERED, TEXTS = 4_000_000, 300_000, 256
-#: Bytes of text in a block of documents, about.
-BLOCK = 6_000_000
-DISCOUNT = 0.75
-
-
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
-
-
-#: No word is empty or white space.
-EDGE, UNKNOWN = _hash(""), _hash(" ")
-
-
-@dataclass
-class Model:
-    """Counts of both corpora. table: key (a word's hash or a pair's key), n0, n1, and for words used0, used1: what their pairs keep after the discount."""
-
-    table: DataFrame
-    known: frozenset | None  # words that count, where not all do
-    size: int
-    events: tuple
-    scale: tuple
+#: A document's sequence, the words of a block, or a block's question to an owner (below -1) with or without an answer to come.
+PARTS = "dest long, block long, kind int, doc_id long, payload binary"
+DOCUMENT, WORDS, QUESTION, COUNTS = range(4)
+#: Characters of a block, and bytes of text for each owner, about.
+BLOCK, OWNED = 4_000_000, 32_000_000
+MIX, ADDED = 0.5, 0.01
 
 
 def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-class Hashes(dict):
-    """Hash by word, the unknown word's for those outside known."""
+def _hashes(of: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in of), np.uint64, len(of))
 
-    def __init__(self, known: frozenset | None):
-        self.known = known
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = _hash(word)
-        if word and self.known is not None and found not in self.known:
-            found = UNKNOWN
-        self[word] = found
-        return found
+def _keys(codes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of pairs (codes: numbers of both words) and of all words, and the order that sorts them."""
+    x = hashes[codes >> 32] * np.uint64(0x9E3779B97F4A7C15) + hashes[codes & 0xFFFFFFFF]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = np.concatenate([x ^ (x >> np.uint64(29)), hashes])
+    return keys, np.argsort(keys, kind="stable")
 
 
-def events_of(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each event of the texts, the word before and the word; the number of events of each text."""
-    before, after, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for i in range(0, len(texts), TEXTS):
-        flat = [""]
-        for text in texts[i : i + TEXTS]:
-            held = len(flat)
-            flat += words(text)
-            flat.append("")
-            lengths.append(len(flat) - held)
-        ids = np.fromiter(map(hashes.__getitem__, flat), np.int64, len(flat))
-        before.append(ids[:-1])
-        after.append(ids[1:])
-    return np.concatenate(before), np.concatenate(after), np.array(lengths, np.int64)
+def _codes(sequence: np.ndarray) -> np.ndarray:
+    """Each event of a text, as the numbers of the word before and the word; 0 is the edge of a text."""
+    edged = np.concatenate([[0], sequence, [0]])
+    return edged[:-1] << 32 | edged[1:]
 
 
-def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return (before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + after.view(np.uint64)).view(np.int64)
+def _take_apart(owners: int, block_chars: int):
+    """Rows (doc_id, side, scored, text) to the parts of their blocks. side: 0 target, 1 background, else not counted."""
 
-
-def _count_pairs(known: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held = Hashes(known), ([], [])
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for side, found in enumerate(held):
-                if found:
-                    before, after = (np.concatenate(c) for c in zip(*found))
-                    found.clear()
-                    key, first, n = np.unique(pair_keys(before, after), return_index=True, return_counts=True)
-                    counts = [n, np.zeros_like(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, before[first], counts[side], counts[1 - side])], ["key", "before", "n0", "n1"])
-
-        events = 0
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        number: defaultdict = defaultdict(itertools.count().__next__)
+        number[""]
+        events: list[list] = [[], [], []]
+        held: list[tuple] = []
+        chars, of = 0, None
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["dest", "block", "kind", "doc_id", "payload"])
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal block, number, events, chars
+            codes = [np.concatenate(e) if e else np.zeros(0, np.int64) for e in events]
+            distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+            hashes = _hashes(list(number))
+            keys, order = _keys(distinct, hashes)
+            ends = np.cumsum([len(c) for c in codes])
+            counts = []
+            for k in (0, 1):
+                own = at[ends[k] - len(codes[k]) : ends[k]]
+                counts.append(np.concatenate([np.bincount(own, minlength=len(distinct)), np.bincount(codes[k] >> 32, minlength=len(hashes))])[order])
+            keys = keys[order]
+            owner = ((keys >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(keys)]
+            out = [(block, block, WORDS, None, pack(pack_numbers(hashes)))] if of else []
+            for i, j in itertools.pairwise(cuts):
+                question = pack(pack_numbers(np.diff(keys[i:j], prepend=np.uint64(0))), *(pack_numbers(c[i:j]) for c in counts))
+                out.append((-2 - int(owner[i]), block, QUESTION if of else COUNTS, None, question))
+            yield rows(out)
+            block, chars, number, events = block + 1, 0, defaultdict(itertools.count().__next__), [[], [], []]
+            number[""]
+
         for batch in batches:
-            sides, texts = batch.column("side").to_numpy(), batch.column("text").to_pylist()
-            for side in (0, 1):
-                before, after, _ = events_of([t for s, t in zip(sides, texts) if s == side], hashes)
-                if len(before):
-                    held[side].append((before, after))
-                    events += len(before)
-            if events > HELD:
-                yield from out()
-                events = 0
-        yield from out()
+            for doc_id, side, scored, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if of is not None and scored != of and any(events):
+                    if held:
+                        yield rows(held)
+                        held = []
+                    yield from finish()
+                of, found, known = scored, words(text.as_py()), len(number)
+                sequence = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+                events[side if side in (0, 1) else 2].append(_codes(sequence))
+                if scored:
+                    held.append((block, block, DOCUMENT, doc_id, pack_sequence(sequence, known)))
+                chars += len(text.as_py() or "")
+                if chars >= block_chars:
+                    if held:
+                        yield rows(held)
+                        held = []
+                    yield from finish()
+            if held:
+                yield rows(held)
+                held = []
+        if any(events):
+            yield from finish()
 
     return run
 
 
-def _pairs(both: DataFrame, known: frozenset | None) -> DataFrame:
-    """key, the word before, and the counts of every pair of both corpora."""
-    found = both.mapInArrow(_count_pairs(known), "key long, before long, n0 long, n1 long")
-    return cut(found.groupBy("key").agg(F.min("before").alias("before"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "lm-pairs")
-
-
-def train(target: DataFrame, background: DataFrame, word_share: float = 0, pair_share: float = 0) -> Model:
-    """The matched models of the texts of target and of background."""
-    bounded_batches(background.sparkSession)
-    text = F.col("text").cast("string").alias("text")
-    both = target.select(F.lit(0).alias("side"), text).unionByName(background.select(F.lit(1).alias("side"), text))
-    pairs, known = _pairs(both, None), None
-    sums = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    events = (sums["n0"] or 0, sums["n1"] or 0)
-    frequent = lambda share: (F.col("n0") >= max(1, share * events[0])) | (F.col("n1") >= max(1, share * events[1]))
-    if word_share:
-        often = pairs.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(frequent(word_share))
-        known = frozenset(r["before"] for r in often.select("before").toLocalIterator())
-        pairs = _pairs(both, known)
-    least = min(events) or max(events)
-    scale = tuple(least / n if n else 1.0 for n in events)
-    # Where the discount leaves nothing of a pair in either corpus, its loss is the back-off's.
-    kept = [F.when(frequent(pair_share), F.greatest(F.col(f"n{k}") * F.lit(float(scale[k])) - DISCOUNT, F.lit(0.0))).otherwise(0.0) for k in (0, 1)]
-    # A word ends as many pairs as it starts, so its count is what its pairs add up to.
-    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *(F.sum(kept[k]).alias(f"used{k}") for k in (0, 1))]
-    by_word = pairs.groupBy(F.col("before").alias("key")).agg(*sums)
-    none = F.lit(None).cast("double")
-    table = cut(by_word.unionByName(pairs.where((kept[0] > 0) | (kept[1] > 0)).select("key", "n0", "n1", none.alias("used0"), none.alias("used1"))), "lm-table")
-    size = table.where(F.col("used0").isNotNull() & ~F.col("key").isin(EDGE, UNKNOWN)).count() + 2
-    return Model(table, known, size, events, scale)
-
-
-def _wanted(known: frozenset | None):
-    """The distinct words and pairs of a block."""
-
-    def run(block: pa.Table) -> pa.Table:
-        before, after, _ = events_of(block["text"].to_pylist(), Hashes(known))
-        keys = np.concatenate([np.unique(before), np.unique(pair_keys(before, after))])  # every word of a text stands before another or its end
-        return pa.table({"block": pa.array(np.full(len(keys), block["block"][0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
+def _answer(parts: pa.Table) -> pa.Table:
+    """An owner's answers to its questions: the counts of each key in both corpora, added up over all blocks."""
+    parts = parts.filter(pa.array(parts["kind"].to_numpy() >= QUESTION))
+    out = []
+    if parts.num_rows:
+        asked = [[unpack_numbers(x) for x in unpack(p.as_py())] for p in parts["payload"]]
+        keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = [np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)]
+        begin = 0
+        for own, *counts in asked:
+            for total, c in zip(totals, counts):
+                np.add.at(total, at[begin : begin + len(own)], c.astype(np.int64))
+            begin += len(own)
+        begin = 0
+        for block, kind, own, dest in zip(parts["block"].to_pylist(), parts["kind"].to_pylist(), keys, parts["dest"].to_pylist()):
+            if kind == QUESTION:
+                here = at[begin : begin + len(own)]
+                out.append((block, -2 - dest, pack(*(pack_numbers(t[here]) for t in totals))))
+            begin += len(own)
+    return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["dest", "owner", "payload"])
+
+
+def _losses(events: tuple[int, int], mix: float, added: float):
+    """The documents of a block, given its questions' answers, to their events and mean losses."""
+
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        kind = parts["kind"].to_numpy()
+        documents, (*hashes,) = parts.filter(pa.array(kind == DOCUMENT)), parts["payload"].filter(pa.array(kind == WORDS))
+        lengths, means = np.zeros(0, np.int64), [np.zeros(0), np.zeros(0)]
+        if documents.num_rows:
+            hashes = unpack_numbers(unpack(hashes[0].as_py())[0])
+            codes = [_codes(unpack_sequence(p.as_py())) for p in documents["payload"]]
+            lengths = np.array([len(c) for c in codes], np.int64)
+            distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+            _, order = _keys(distinct, hashes)
+            told = [[unpack_numbers(x) for x in unpack(p.as_py())] for p in answers.sort_by("owner")["payload"]]
+            starts = np.cumsum(lengths) - lengths
+            for k in (0, 1):
+                totals = np.zeros(len(order))
+                totals[order] = np.concatenate([t[k] for t in told])
+                pairs, single = totals[: len(distinct)], totals[len(distinct) :]
+                share = (single + added) / (events[k] + added * max(1, sum(events)))
+                before, after = single[distinct >> 32], share[distinct & 0xFFFFFFFF]
+                p = np.where(before > 0, mix * pairs / np.maximum(before, 1) + (1 - mix) * after, after)
+                means[k] = np.add.reduceat(-np.log2(p)[at], starts) / lengths
+        return pa.table([documents["doc_id"].cast(pa.int64()), pa.array(lengths, pa.int64()), *(pa.array(m, pa.float64()) for m in means)], names=["doc_id", "n_events", "target_bits", "background_bits"])
 
     return run
 
 
-def _losses(known: frozenset | None, size: int, events: tuple, scale: tuple):
-    """doc_id, events and mean losses of a block's documents, given what the table knows of its words and pairs."""
-
-    def run(block: pa.Table, given: pa.Table) -> pa.Table:
-        order = np.argsort(given["key"].to_numpy(), kind="stable")
-        keys = given["key"].to_numpy()[order]
-        columns = {c: np.nan_to_num(given[c].to_numpy().astype(float)[order]) for c in ("n0", "n1", "used0", "used1")}
-
-        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.searchsorted(keys, wanted).clip(max=max(0, len(keys) - 1))
-            return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-
-        before, after, lengths = events_of(block["text"].to_pylist(), Hashes(known))
-        # A block's words are few beside its events: theirs are looked up once.
-        own, at = np.unique(before, return_inverse=True)
-        after_at = np.searchsorted(own, after)
-        w, w_hit = find(own)
-        p, p_hit = find(pair_keys(before, after))
-        starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else lengths
-        means = []
-        for k in (0, 1):
-            take = lambda c, i, hit: np.where(hit, c[i], 0.0) if len(c) else np.zeros(len(hit))
-            counts, used = take(columns[f"n{k}"], w, w_hit) * scale[k], take(columns[f"used{k}"], w, w_hit)
-            unigram = (counts + 1) / (events[k] * scale[k] + size)
-            free = np.where(counts > 0, 1 - used / np.maximum(counts, 1e-300), 1.0).clip(1e-9, 1)
-            of_pair = np.maximum(take(columns[f"n{k}"], p, p_hit) * scale[k] - DISCOUNT, 0) / np.maximum(counts[at], 1e-300)
-            bits = -np.log2(of_pair + free[at] * unigram[after_at])
-            means.append(np.add.reduceat(bits, starts) / lengths if len(lengths) else bits)
-        return pa.table([block["doc_id"], pa.array(lengths, pa.int64()), *(pa.array(m, pa.float64()) for m in means)], names=["doc_id", "n_events", "target_bits", "background_bits"])
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, size = [0, 0], 0
+        for side, text in zip(batch.column("side").to_pylist(), batch.column("text")):
+            text = text.as_py() or ""
+            size += len(text)
+            if side in (0, 1):
+                n[side] += len(text.split()) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*n, size)], ["n0", "n1", "size"])
 
-    return run
 
+def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, mix: float = MIX, added: float = ADDED, block_chars: int | None = None) -> DataFrame:
+    """doc_id, n_events, the mean loss in bits under target and background, and score: their difference, of every row of docs.
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_events, the mean loss in bits under target and background, and score: their difference."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = buckets_for(rows, "text", BLOCK)
-    by_block = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
-    wanted = by_block.applyInArrow(_wanted(model.known), "block long, key long")
-    given = wanted.join(model.table, "key")
-    scored = by_block.cogroup(given.groupBy("block")).applyInArrow(_losses(model.known, model.size, model.events, model.scale), SCORED)
+    background: by default docs themselves, which are then taken apart once. block_chars bounds what a task holds of its texts.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    text = F.col("text").cast("string").alias("text")
+    counted = lambda df, side: df.select(F.lit(None).cast("long").alias("doc_id"), F.lit(side).alias("side"), F.lit(False).alias("scored"), text)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1 if background is None else -1).alias("side"), F.lit(True).alias("scored"), text)
+    rows = rows.unionByName(counted(target, 0))
+    if background is not None:
+        rows = rows.unionByName(counted(background, 1))
+    sums = rows.select("side", "text").mapInArrow(_sizes, "n0 long, n1 long, size long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "size"))).first()
+    n = partitions(spark)
+    owners = max(n, -(-sums["size"] // OWNED))
+    # Owners and blocks read this one exchange; which rows are theirs is told in Python so that it stays the same plan.
+    parts = rows.mapInArrow(_take_apart(owners, block_chars or BLOCK), PARTS).repartition(n, "dest")
+    answers = parts.groupBy("dest").applyInArrow(_answer, "dest long, owner long, payload binary")
+    scored = parts.groupBy("dest").cogroup(answers.groupBy("dest")).applyInArrow(_losses((sums["n0"], sums["n1"]), mix, added), SCORED)
     return scored.withColumn("score", F.col("target_bits") - F.col("background_bits"))

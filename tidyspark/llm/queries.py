@@ -48,8 +48,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more the documents are like the conversations than like the documents as a whole."""
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(table(spark, sf_dir, "conversations"), docs))
+    return lm_score.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nn_descent, op3_minhash, op4_warc, op5_repeats, op6_toxicity, op7_bpe, op8_token_counts, op9_decontamination, op10_lm_score)}
