@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions
-from .packing import pack, pack_sequence, unpack, unpack_sequence
+from .packing import from_planes, pack, pack_sequence, planes, unpack, unpack_sequence
 
-#: A document of a block (owner is null, payload its word numbers), or words of a block for one owner.
-BLOCK = "block long, doc_id long, owner int, payload binary"
-ENCODED_WORDS = "block long, payload binary"
+#: A document of a block (dest: the block, payload: its word numbers), or words of a block for one owner (dest: -1 - owner).
+BLOCK = "dest long, block long, doc_id long, payload binary"
+ENCODED_WORDS = "dest long, payload binary"
 ENCODED = "doc_id long, n_tokens long, ids binary"
 #: Rows that are decoded at a time.
 DECODED = 64
@@ -87,16 +87,16 @@ def _number(pattern: str, owners: int, block_chars: int):
         first, seq, chars = TaskContext.get().partitionId() << 32, 0, 0
         number: defaultdict = defaultdict(itertools.count().__next__)
 
-        def rows(doc_ids: list, of: list, payloads: list) -> pa.RecordBatch:
-            columns = [pa.array([first + seq] * len(payloads), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(of, pa.int32()), pa.array(payloads, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "owner", "payload"])
+        def rows(dest: list, doc_ids: list, payloads: list) -> pa.RecordBatch:
+            columns = [pa.array(dest, pa.int64()), pa.array([first + seq] * len(payloads), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(payloads, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["dest", "block", "doc_id", "payload"])
 
         def words() -> pa.RecordBatch:
             dealt = defaultdict(list)
-            for word, i in number.items():
+            for word, i in number.items():  # in the order of their numbers
                 dealt[zlib.crc32(word := word.encode()) % owners].append((i, word))
-            payloads = [pack(np.array([i for i, _ in own], "<u4").tobytes(), *(w for _, w in own)) for own in dealt.values()]
-            return rows([None] * len(dealt), list(dealt), payloads)
+            payloads = [pack(planes(np.diff([i for i, _ in own], prepend=0)), planes([len(w) for _, w in own]), b"".join(w for _, w in own)) for own in dealt.values()]
+            return rows([-1 - o for o in dealt], [None] * len(dealt), payloads)
 
         for batch in batches:
             doc_ids, payloads = [], []
@@ -107,23 +107,18 @@ def _number(pattern: str, owners: int, block_chars: int):
                 doc_ids.append(doc_id)
                 chars += len(text)
                 if chars >= block_chars:
-                    yield rows(doc_ids, [None] * len(doc_ids), payloads)
+                    yield rows([first + seq] * len(doc_ids), doc_ids, payloads)
                     yield words()
                     doc_ids, payloads, chars, seq = [], [], 0, seq + 1
                     number = defaultdict(itertools.count().__next__)
             if doc_ids:
-                yield rows(doc_ids, [None] * len(doc_ids), payloads)
+                yield rows([first + seq] * len(doc_ids), doc_ids, payloads)
         if number:
             yield words()
 
     return run
 
 
-def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(batch.column("owner").is_valid())
-
-
 def _encode_words(path: str, pattern: str):
     """The words of each block to ids. An owner meets all blocks that hold its words and encodes each word once."""
 
@@ -131,25 +126,28 @@ def _encode_words(path: str, pattern: str):
         encode = _encoder(path, pattern).encode_ordinary
         known: dict[bytes, bytes] = {}
         for batch in batches:
+            batch = batch.filter(pa.array(batch.column("dest").to_numpy() < 0))
             payloads = []
             for payload in batch.column("payload"):
-                numbers, *words = unpack(payload.as_py())
+                numbers, lengths, flat = unpack(payload.as_py())
                 if len(known) > KEPT_WORDS:
                     known.clear()
-                for word in words:
+                ids = []
+                for i, j in itertools.pairwise([0, *np.cumsum(from_planes(lengths)).tolist()]):
+                    word = flat[i:j]
                     if word not in known:
                         known[word] = np.array(encode(word.decode()), "<u4").tobytes()
-                ids = [known[word] for word in words]
-                lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                payloads.append(pack(numbers, lengths.astype("<u4").tobytes(), b"".join(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(payloads, pa.binary())], ["block", "payload"])
+                    ids.append(known[word])
+                payloads.append(pack(numbers, planes([len(x) // 4 for x in ids]), planes(np.frombuffer(b"".join(ids), "<u4"))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(payloads, pa.binary())], ["dest", "payload"])
 
     return run
 
 
 def _reassemble(documents: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one block, from their word numbers and the ids of its words."""
-    parts = [[np.frombuffer(x, "<u4") for x in unpack(p.as_py())] for p in words.column("payload")]
+    parts = [[from_planes(x) for x in unpack(p.as_py())] for p in words.column("payload")]
+    parts = [(np.cumsum(numbers, dtype=np.int64), own, ids) for numbers, own, ids in parts]
     size = max((int(n.max()) + 1 for n, _, _ in parts if len(n)), default=0)
     starts, lengths, at = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
     for numbers, own, ids in parts:
@@ -158,10 +156,10 @@ def _reassemble(documents: pa.Table, words: pa.Table) -> pa.Table:
         at += len(ids)
     flat = np.concatenate([ids for _, _, ids in parts]) if parts else np.zeros(0, "<u4")
     doc_ids, counts, encoded = [], [], []
-    for doc_id, owner, payload in zip(documents.column("doc_id"), documents.column("owner"), documents.column("payload")):
-        if not owner.is_valid:
+    for dest, doc_id, payload in zip(documents.column("dest").to_pylist(), documents.column("doc_id").to_pylist(), documents.column("payload")):
+        if dest >= 0:
             ids = gather(flat, starts, lengths, unpack_sequence(payload.as_py()))
-            doc_ids.append(doc_id.as_py())
+            doc_ids.append(doc_id)
             counts.append(len(ids))
             encoded.append(ids.tobytes())
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(encoded, pa.binary())})
@@ -176,10 +174,10 @@ def encode(docs: DataFrame, path: str, pattern: str, block_chars: int = 4_000_00
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions(spark)
-    # Both uses below read this exchange; the words are picked out in Python so that its two uses stay the same plan.
-    blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_number(pattern, n, block_chars), BLOCK).repartition(n, "block")
-    words = blocks.mapInArrow(_words_only, BLOCK).repartition(n, "owner").mapInArrow(_encode_words(path, pattern), ENCODED_WORDS)
-    return blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_reassemble, ENCODED)
+    # Both uses below read this exchange; whose rows are whose is told in Python so that its two uses stay the same plan.
+    blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_number(pattern, n, block_chars), BLOCK).repartition(n, "dest")
+    words = blocks.mapInArrow(_encode_words(path, pattern), ENCODED_WORDS).repartition(n, "dest")
+    return blocks.groupBy("dest").cogroup(words.groupBy("dest")).applyInArrow(_reassemble, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
