@@ -18,14 +18,21 @@ def exact(vectors, every=20, top=20):
     return out
 
 
-@pytest.mark.parametrize("norms", [False, True])
-def test_recall_and_scores(spark, monkeypatch, norms):
-    monkeypatch.setattr(ann, "LEAF", 200)
+@pytest.mark.parametrize("case", ["unit", "norms", "outlier", "parts", "close"])
+def test_recall_and_scores(spark, monkeypatch, case):
+    monkeypatch.setattr(ann, "LEAF", 100)
+    monkeypatch.setattr(ann, "BLOCK", 300)
     monkeypatch.setattr(ann, "GROUP", 20)
+    if case == "parts":
+        monkeypatch.setattr(ann, "SAMPLE", 64)  # a tree of four leaves, each dealt on
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((1500, 16)) * (rng.uniform(0.5, 2, (1500, 1)) if norms else 1)
-    if not norms:
+    x = rng.standard_normal((1500, 16)) * (rng.uniform(0.1, 2, (1500, 1)) if case == "norms" else 1)
+    if case != "norms":
         x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "outlier":
+        x[77] *= 1e4
+    if case == "close":
+        x = np.array([1.0, *[0.0] * 15]) + 1e-4 * x
     x = x.astype(np.float32)
     x[100:160] = x[100]
     vectors = [(i, v.tolist()) for i, v in enumerate(x)]
@@ -50,17 +57,23 @@ def test_edge_cases(spark):
     assert ann.nearest(frame(spark, good).limit(0)).count() == 0
 
 
+def test_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 1.0, 1.0]), (21, [0.0, 2.0, 0.0]), (22, [1.0, 0.0, 0.0]), (1, [0.25, 0.5])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(frame(spark, rows)).collect()}
+    assert got == {(0, 1): (1, 0.25), (20, 1): (21, 2.0), (20, 2): (22, 1.0)}
+
+
 def test_search_goes_on_to_the_end(spark):
     """Nodes along half a circle, each linked to the next: a query at one end is entered at the other."""
     n = 9
     vec = [[float(np.cos(a)), float(np.sin(a))] for a in np.linspace(np.pi, 0, n)]
-    half = lambda x: np.array([*x, 0], np.float16).tobytes()
-    nodes = spark.createDataFrame([(i, v, half(v), min(i, 1)) for i, v in enumerate(vec)], "node long, vec array<double>, half binary, block long")
-    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "u long, v long, s float")
-    queries = spark.createDataFrame([(100, vec[-1], half(vec[-1]), None, 0, 0)], "q long, qvec array<double>, half binary, own long, block long, g long")
-    found = ann.search(nodes, graph, queries, 2, beam=3, width=1, starts=1).collect()
+    raw = lambda x: np.array(x, np.float32).tobytes()
+    nodes = spark.createDataFrame([(i, raw([*v, 0]), min(i, 1)) for i, v in enumerate(vec)], "node long, x binary, place long")
+    links = spark.createDataFrame([(i, [i + 1] if i + 1 < n else []) for i in range(n)], "u long, list array<long>")
+    queries = spark.createDataFrame([(0, 100, raw(vec[-1]), None, 0)], "g long, q long, qx binary, own long, place long")
+    found = ann.search(nodes, links, queries, 2, beam=3, width=1, starts=1).collect()
     assert {n - 1, n - 2} <= {r.node for r in found}
 
 
 def test_beams_grow():
-    assert ann.beam_for(100) == ann.beam_for(10_000) == 400 and ann.beam_for(160_000) == 1600
+    assert ann.beam_for(1) == 64 < ann.beam_for(10_000) < ann.beam_for(10**9)
