@@ -6,10 +6,10 @@ least ``match`` of the ``COORDINATES`` tokens but for one pair in ten million, s
 those that others share only the first are posted: two classes with ``match`` common tokens meet in one of these (prefix),
 and the long lists of frequent tokens are skipped.
 
-What is asked for is components, so a list need not be multiplied out. First come two rounds of stars: every list names one
-pivot (the member with the most shared tokens, then one by hash), collisions of classes with pivots are counted, and each class
-is compared with the pivot it collides with most. That is one pair a class and round, and it merges groups of near copies however
-large. Lists that still hold several components are then merged: within a list, a pair of different components counts its collisions
+What is asked for is components, so a list need not be multiplied out. First come rounds of stars: every list names one
+pivot (the member with the most shared tokens, later one by hash of the largest component that it holds), collisions of classes
+with pivots are counted, and each class is compared with the pivot it collides with most. That is one pair a class and round, and it
+merges groups of near copies however large; rounds end when hardly a class finds a link. Lists that still hold several components are then merged: within a list, a pair of different components counts its collisions
 in the first list that it shares and nowhere else; from ``match`` on a finer sketch of ``FINE`` coordinates is compared, again with a miss of
 one in ten million; pairs that stay are confirmed on the full sets. Long lists are cut into blocks that meet pairwise, so that no
 task holds a whole one. No pair is given up, no list is cut short, and no pair within a component is made.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import comb
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, partitions
 
-COORDINATES, FINE = 48, 1024
+COORDINATES, FINE = 48, 2048
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
 SETS = "rep long, shingles binary, mask long, coarse binary, fine binary"
 #: Share of pairs at exactly the sought similarity that may agree in fewer tokens.
@@ -48,11 +48,15 @@ _TAGS = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(56)
 _FINE_FACTORS = _random.integers(1, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FINE_ADDED = _random.integers(0, 2**32, FINE, dtype=np.uint32)
 
+#: How many of the two halves of a byte are zero.
+_EQUAL_HALVES = np.array([(i < 16) + (i % 16 == 0) for i in range(256)], np.uint8)
+
 
 def least_matches(similarity: float, coordinates: int = COORDINATES) -> int:
     """The most coordinates in which pairs of that similarity agree with a probability of at least 1 - MISSED."""
+    chance = lambda at: exp(lgamma(coordinates + 1) - lgamma(at + 1) - lgamma(coordinates - at + 1) + at * log(similarity) + (coordinates - at) * log1p(-similarity))
     at, below = 0, 0.0
-    while (below := below + comb(coordinates, at) * similarity**at * (1 - similarity) ** (coordinates - at)) <= MISSED:
+    while (below := below + chance(at)) <= MISSED:
         at += 1
     return at
 
@@ -94,11 +98,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def fine_sketch(shingles: np.ndarray) -> np.ndarray:
-    """One byte of the least 32-bit hash under each of FINE coordinates."""
+    """Four bits of the least 32-bit hash under each of FINE coordinates."""
     x, least = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32), np.full(FINE, 2**32 - 1, np.uint32)
-    for i in range(0, len(x), 512):
-        least = np.minimum(least, (x[i : i + 512, None] * _FINE_FACTORS + _FINE_ADDED).min(0))
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+    for i in range(0, len(x), 256):
+        least = np.minimum(least, (x[i : i + 256, None] * _FINE_FACTORS + _FINE_ADDED).min(0))
+    four = ((least * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
+    return four[::2] << 4 | four[1::2]
 
 
 def _sketch(width: int):
@@ -129,7 +134,7 @@ def _sets(width: int):
             for tokens, text in zip(batch.column("tokens"), batch.column("text")):
                 found = shingler(text.as_py())
                 if not len(found):  # another text of the same doc_id
-                    out.append((b"", 0, bytes(4 * COORDINATES), bytes(FINE)))
+                    out.append((b"", 0, bytes(4 * COORDINATES), bytes(FINE // 2)))
                     continue
                 own = signature(found)
                 posted = np.isin(own, tokens.values.to_numpy())
@@ -164,7 +169,7 @@ def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
     while passes is None or passes > 0:
-        passed = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
+        passed = both.join(labels.select(F.col("node").alias("near_node"), "c"), F.col("b") == F.col("near_node")).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
         nearer = labels.join(passed, "node").select("node", "c", F.least("c", "near").alias("n"))
         jump = labels.select(F.col("node").alias("n"), F.col("c").alias("far"))
         now = cut(nearer.join(jump, "n", "left").select("node", F.least("n", "far").alias("n"), "c"), "labels")
@@ -243,7 +248,7 @@ def _meet(match: int, fine_match: int):
                 same = ((g["coarse"][p] == g["coarse"][q]).astype(np.uint64) << ways).sum(1, dtype=np.uint64)
                 first = (same & g["mask"][p].view(np.uint64) & g["mask"][q].view(np.uint64) & earlier) == 0
                 p, q = p[first], q[first]
-                close = (g["fine"][p] == g["fine"][q]).sum(1) >= fine_match
+                close = _EQUAL_HALVES[g["fine"][p] ^ g["fine"][q]].sum(1, dtype=np.int64) >= fine_match
                 yield g["rep"][p[close]], g["rep"][q[close]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +261,7 @@ def _meet(match: int, fine_match: int):
         rest: dict = {}
         for batch in batches:
             rows = {k: batch.column(k).to_numpy() for k in names}
-            for k, width, kind in (("coarse", COORDINATES, np.uint32), ("fine", FINE, np.uint8)):
+            for k, width, kind in (("coarse", COORDINATES, np.uint32), ("fine", FINE // 2, np.uint8)):
                 rows[k] = np.frombuffer(b"".join(batch.column(k).to_pylist()), kind).reshape(-1, width)
             if rest:
                 rows = {k: np.concatenate([rest[k], v]) for k, v in rows.items()}
@@ -272,20 +277,26 @@ def _meet(match: int, fine_match: int):
     return run
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, rounds: int = 2, block: int | None = None) -> DataFrame:
-    """node and component of the classes (rep, signature) that are linked with another one."""
+def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, rounds: int = 10, settled: float = 0.002, block: int | None = None) -> DataFrame:
+    """node and component of the classes (rep, signature) that are linked with another one.
+
+    rounds and settled (a share of the classes) end the stars; they spare pairs and don't change the result.
+    """
     spark, match = classes.sparkSession, least_matches(percent / 100)
-    fine_match = least_matches(percent / 100 + (1 - percent / 100) / 256, FINE)
+    fine_match = least_matches(percent / 100 + (1 - percent / 100) / 16, FINE)
     active = cut(_posted(classes, match), "posted")
     sets = cut(docs.join(active, docs["doc_id"] == active["rep"]).select("rep", "tokens", "text").mapInArrow(_sets(width), SETS), "sets")
     postings = active.select(F.explode("tokens").alias("token"), "rep", "shared")
-    links, labels = [], None
-    lists = postings.withColumn("c", F.col("rep"))
-    for r in range(rounds):
-        by = F.col("shared") if r == 0 else F.xxhash64("rep", F.lit(r))
+    links, found, n = [], None, active.count()
+    lists = postings.withColumns({"c": F.col("rep"), "size": F.lit(1)})
+    while found is None or len(links) < 2 or found > settled * n and len(links) < rounds:
+        by = F.col("shared") if found is None else F.struct("size", F.xxhash64("rep", F.lit(len(links))))
         links.append(cut(_confirmed(_stars(lists, by), sets, percent), "links"))
-        labels = components(reduce(DataFrame.unionByName, links), passes=3)  # finer than components, which only spares less
-        lists = postings.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("token", "rep", "shared", F.coalesce("component", "rep").alias("c"))
+        found = links[-1].count()
+        labels = components(reduce(DataFrame.unionByName, links))
+        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        labels = cut(labels.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("c"), "size"), "labels")
+        lists = postings.join(labels, "rep", "left").select("token", "rep", "shared", F.coalesce("c", "rep").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
     lists = cut(lists, "lists")
     met = _open_blocks(lists, block or BLOCK).join(sets.drop("shingles"), "rep")
     met = met.repartition(partitions(spark), "token", "x", "y").sortWithinPartitions("token", "x", "y")
