@@ -23,7 +23,7 @@ def test_run_equals_brute_force(spark):
     rows = [r for r in rows if scorer.score(r[1]) < 0.3]
     kept = {d for d, _, _, k in test_minhash.brute(rows, 5, 80) if k}
     rows = [r for r in rows if r[0] in kept]
-    cleaned = test_substring_dedup.brute(rows)
+    cleaned = test_substring_dedup.brute(rows, ends=True)
     rows = [(d, t) for d, (t, n) in cleaned.items() if not n or t.strip(" ")]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bad = {d for d, *_ in test_decontam.brute(rows, items)}

@@ -1,26 +1,44 @@
 import random
 
+import pytest
+
 from tidyspark.llm import substring_dedup as sd
 
 
-def brute(rows, least=16):
-    """Texts after removal, by comparing all runs of all documents in order."""
-    seen, out = {}, {}
-    for doc_id, text in sorted(rows, key=lambda r: r[0]):
-        parts, gone = sd.sentences(text or ""), set()
-        words = [p.lower().split() for p in parts]
-        for i in range(len(parts)):
-            if not words[i]:
-                continue
-            for j in range(i + 1, len(parts) + 1):
-                flat = [w for ws in words[i:j] for w in ws]
-                k = sum(bool(ws) for ws in words[i:j])
-                if len(flat) >= least and (k >= 2 or len(flat) >= sd.LONG):
-                    if tuple(flat) in seen:
-                        gone |= set(range(i, j))
-                    seen.setdefault(tuple(flat), doc_id)
-                    break
-        out[doc_id] = ("".join(p for i, p in enumerate(parts) if i not in gone).lstrip() if gone else text, len(gone))
+def cut_sentences(text):
+    """Sentences end at . ! ? or an ellipsis before white space, and at line ends before anything else."""
+    out, begin = [], 0
+    for i in range(1, len(text)):
+        if text[i - 1] in ".!?\u2026" and text[i].isspace() or text[i - 1] == "\n" and not text[i].isspace():
+            out.append(text[begin:i])
+            begin = i
+    return [*out, text[begin:]] if text else []
+
+
+def brute(rows, least=16, ends=False, long=40):
+    """Texts after removal, by comparing all runs of all documents."""
+    enough = lambda own: sum(map(len, own)) >= least and (sum(map(bool, own)) >= 2 or sum(map(len, own)) >= long)
+    found = {}
+    for doc_id, text in rows:
+        words = [p.lower().split() for p in cut_sentences(text or "")]
+        at = set()
+        for i in range(len(words)):
+            if words[i]:
+                at |= {(i, j) for j in [next((j for j in range(i + 1, len(words) + 1) if enough(words[i:j])), 0)] if j}
+            if words[i] and ends:
+                at |= {(k, i + 1) for k in [next((k for k in range(i, -1, -1) if enough(words[k : i + 1])), -1)] if k >= 0}
+        for i, j in at:
+            found.setdefault(tuple(w for ws in words[i:j] for w in ws), set()).add((doc_id, i, j))
+    gone = {}
+    for places in found.values():
+        first = min(places)[:2]
+        for doc_id, i, j in places:
+            if (doc_id, i) != first:
+                gone.setdefault(doc_id, set()).update(range(i, j))
+    out = {}
+    for doc_id, text in rows:
+        own = gone.get(doc_id, set())
+        out[doc_id] = ("".join(p for i, p in enumerate(cut_sentences(text)) if i not in own).lstrip() if own else text, len(own))
     return out
 
 
@@ -39,11 +57,13 @@ def corpus(seed=1, n=60):
     return rows
 
 
-def test_equals_brute_force(spark):
-    rows = corpus()
+@pytest.mark.parametrize("ends", [False, True])
+def test_equals_brute_force(spark, ends):
+    long_text = " ".join(f"word{i % 97} and word{i % 89} stand here." for i in range(20_000))
+    rows = [*corpus(), (200, long_text), (201, f"Another beginning of it. {long_text}")]
     docs = spark.createDataFrame([(i, t, i, "r") for i, t in rows], "doc_id long, text string, n int, row string").repartition(4)
-    want = brute(rows)
-    got = sd.clean(docs).select("row.doc_id", "row.row", "text", "n_removed").collect()
+    want = brute(rows, ends=ends)
+    got = sd.clean(docs, ends=ends).select("row.doc_id", "row.row", "text", "n_removed").collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.text, r.n_removed) == want[r.doc_id]

@@ -29,6 +29,8 @@ from .common import bounded_batches, cut
 
 #: A sentence of so many words is a run of its own.
 LONG = 40
+#: Runs that leave a worker at a time.
+ROWS = 20_000
 RUNS = "h1 long, h2 long, doc_id long, t long, pos int, n int"
 _END = re.compile(r"(?<=[.!?…])(?=\s)|(?<=\n)(?=\S)")
 
@@ -64,19 +66,23 @@ def runs(text: str, least_words: int, ends: bool = False) -> Iterator[tuple[int,
 
 
 def _runs(least_words: int, ends: bool):
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), kinds)], ["h1", "h2", "doc_id", "t", "pos", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, ids, ts, at, ns = [], [], [], [], [], []
-            for doc_id, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found: list[tuple] = []
+            for doc_id, t, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                doc_id, t = doc_id.as_py(), t.as_py()
                 for i, n, digest in runs(text.as_py() or "", least_words, ends):
-                    h1.append(int.from_bytes(digest[:8], "big", signed=True))
-                    h2.append(int.from_bytes(digest[8:], "big", signed=True))
-                    ids.append(doc_id)
-                    ts.append(t)
-                    at.append(i)
-                    ns.append(n)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((h1, h2, ids, ts, at, ns), kinds)], ["h1", "h2", "doc_id", "t", "pos", "n"])
+                    found.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), doc_id, t, i, n))
+                    if len(found) >= ROWS:
+                        yield batch_of(found)
+                        found = []
+            if found:
+                yield batch_of(found)
 
     return run
 
@@ -85,7 +91,7 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, ends: bool = False) -
     """doc_id, t (hash of the text), pos and n of each run that is not the first place of its hash."""
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    found = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_runs(least_words, ends), RUNS)
+    found = cut(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_runs(least_words, ends), RUNS), "runs")
     place = F.struct("doc_id", "t", "pos")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h1", "h2", "first")
     firsts = cut(firsts, "first-places")  # a plain shuffle on both sides of the join, so that Spark can split its hot keys
@@ -94,16 +100,19 @@ def repeated_spans(docs: DataFrame, least_words: int = 16, ends: bool = False) -
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (row, text, spans) to (row, text without the spans, sentences, removed sentences)."""
-    for batch in batches:
-        texts, removed, total = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-            parts = sentences(text or "")
-            gone = {i for s in spans or () for i in range(s["pos"], s["pos"] + s["n"])}
-            texts.append("".join(p for i, p in enumerate(parts) if i not in gone).lstrip() if gone else text)
-            removed.append(len(gone))
-            total.append(len(parts))
-        columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_sentences", "n_removed"])
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 64):
+            batch = whole.slice(begin, 64)
+            texts, removed, total = [], [], []
+            for text, spans in zip(batch.column("text"), batch.column("spans")):
+                text = text.as_py()
+                parts = sentences(text or "")
+                gone = {i for s in spans.as_py() or () for i in range(s["pos"], s["pos"] + s["n"])}
+                texts.append("".join(p for i, p in enumerate(parts) if i not in gone).lstrip() if gone else text)
+                removed.append(len(gone))
+                total.append(len(parts))
+            columns = [batch.column("row"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_sentences", "n_removed"])
 
 
 def clean(docs: DataFrame, least_words: int = 16, ends: bool = False) -> DataFrame:
