@@ -1,14 +1,17 @@
 """Benchmark decontamination by template canonicalisation, on DataFrame functions alone.
 
 Texts of both sides become word templates: white space is evened out, words that are all punctuation go, numbers become
-<num>, a word after a number that is a unit <unit>, capitalised words inside a sentence <name>; the rest is lower-cased and
-stripped of punctuation. Windows of five template words are looked up by hash. Replacement never changes the number of
-words, so a found window also gives the words behind its placeholders: the slots. Windows that lie alike in the item and in
+<num>, a word after a number that is a unit <unit>; the rest is lower-cased and stripped of punctuation. In a second form of a window every
+capitalised word is a <name> as well, at the start of a sentence too. Windows of five words are looked up by hash: in the first form, which finds copies in
+any case, or in the second, which finds those with other names, if the window has two neighbouring words that are neither
+capitalised nor placeholders. Replacement never changes the number of words, so a found window also gives the words behind its placeholders: the
+slots, without punctuation around them. Windows that lie alike in the item and in
 the document are one occurrence; it counts if its slots are consistent, which means that equal slots of the item are equal in
 the document and the other way round; a question whose numbers or names were swapped throughout still matches.
 
 Only the windows of the benchmark are ever grouped or sent. Documents stay where they are read: their pairs of words are looked
-up among the windows' anchors (the longest pair of neighbours in each window), and only around a hit is a window hashed. The
+up among the windows' anchors (in each window the longest pair of neighbours, of words that are neither capitalised nor placeholders if it has such), and only around a
+hit is a window hashed and its second form made. The
 windows are broadcast if a count proves them few, else both sides are joined by a shuffle on the anchor.
 
 An item is found in a document if at least ``coverage`` of its windows are. Defined results: items with fewer than five
@@ -42,10 +45,9 @@ def _even(text: Column) -> Column:
 def with_words(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, words (as written) and template (of equal length) of every row with a key; a text without words has one empty word."""
     even = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), _even(F.col(text).cast("string")).alias("even"))
-    names = even.withColumn("t", F.regexp_replace("even", r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})[\p{L}\p{M}'’-]*", "<name>"))
-    units = F.regexp_replace("t", rf"(?i)(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "<unit>")
+    units = F.regexp_replace("even", rf"(?i)(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", "<unit>")
     numbers = F.regexp_replace(units, r"(?<![^ ])[^\p{L}\p{N} <]*\d[\d.,:/]*[^ ]*", "<num>")
-    typed = names.withColumn("t", F.when(F.col("t").rlike(r"\d"), numbers).otherwise(F.col("t")))  # no digit: no number, no unit
+    typed = even.withColumn("t", F.when(F.col("even").rlike(r"\d"), numbers).otherwise(F.col("even")))  # no digit: no number, no unit
     template = F.split(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{M}\p{N}<> ]+", ""), " ")
     # The lambda keeps this projection out of the generated code of what follows: with the patterns inside, the loop over
     # words becomes a method larger than the JVM compiles (8000 bytes), and runs some ten times slower.
@@ -56,16 +58,33 @@ def _hash(words: Column) -> Column:
     return F.xxhash64(F.concat_ws(" ", words))
 
 
+def _slots(words: Column) -> Column:
+    return F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+
+def _named(slots: Column, template: Column) -> Column:
+    """The second form of a window: capitalised words are names."""
+    return F.zip_with(slots, template, lambda w, t: F.when(~t.startswith("<") & w.rlike(r"^\p{Lu}"), F.lit("<name>")).otherwise(t))
+
+
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """Each window of each item: item_id, no, n_windows, hash, width, anchor (hash of a pair of words), its place, and the slots."""
-    items = with_words(benchmark, "item_id").where("words[0] != ''").dropDuplicates(["item_id", "template"]).withColumn("width", F.least(F.lit(size), F.size("template")))
+    """Each window of each item: item_id, no, n_windows, width, slots, anchor (hash of a pair of words), its place, and the hashes of both forms."""
+    items = with_words(benchmark, "item_id").where("words[0] != ''").dropDuplicates(["item_id", "words"]).withColumn("width", F.least(F.lit(size), F.size("template")))
     last = F.size("template") - F.col("width")
     starts = items.select("item_id", "words", "template", "width", (last + 1).alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("no"))
-    cut = starts.select("item_id", "width", "n", "no", F.slice("template", F.col("no") + 1, F.col("width")).alias("template"), F.slice("words", F.col("no") + 1, F.col("width")).alias("slots"))
+    cut = starts.select("item_id", "width", "n", "no", F.slice("template", F.col("no") + 1, F.col("width")).alias("template"), _slots(F.slice("words", F.col("no") + 1, F.col("width"))).alias("slots"))
+    cut = cut.where("width > 1").withColumn("named", _named(F.col("slots"), F.col("template")))
     plain = F.transform("template", lambda w: F.when(w.startswith("<"), F.lit(0)).otherwise(F.length(w)))
-    pairs = F.zip_with(F.slice(plain, F.lit(1), F.col("width") - 1), F.slice(plain, F.lit(2), F.col("width") - 1), lambda x, y: x + y)
-    anchored = cut.where("width > 1").withColumn("offset", F.array_position(pairs, F.array_max(pairs)).cast("int") - 1)
-    return anchored.select("item_id", "no", F.col("n").alias("n_windows"), "width", "slots", "offset", F.xxhash64(F.get("template", F.col("offset")), F.get("template", F.col("offset") + 1)).alias("anchor"), _hash(F.col("template")).alias("hash"))
+    calm = F.transform("named", lambda w: F.when(w.startswith("<"), F.lit(0)).otherwise(F.length(w)))
+    both = lambda of, add: F.zip_with(F.slice(of, F.lit(1), F.col("width") - 1), F.slice(of, F.lit(2), F.col("width") - 1), add)
+    calm_pairs = both(calm, lambda x, y: F.when((x > 0) & (y > 0), x + y).otherwise(F.lit(0)))
+    measured = cut.withColumns({"pairs": both(plain, lambda x, y: x + y), "calm": calm_pairs}).withColumn("fixed", F.array_max("calm") > 0)
+    pairs = F.when(F.col("fixed"), F.col("calm")).otherwise(F.col("pairs"))
+    anchored = measured.withColumn("offset", F.array_position(pairs, F.array_max(pairs)).cast("int") - 1)
+    return anchored.select(
+        "item_id", "no", F.col("n").alias("n_windows"), "width", "slots", "offset", F.xxhash64(F.get("template", F.col("offset")), F.get("template", F.col("offset") + 1)).alias("anchor"),
+        _hash(F.col("template")).alias("hash"), F.when(F.col("fixed"), _hash(F.col("named"))).alias("named_hash"),
+    )
 
 
 def _pairs(mine: Column, theirs: Column, template: Column) -> Column:
@@ -78,7 +97,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: floa
     """doc_id, item_id, n_windows, n_found, coverage and changed (slots differ somewhere) of each item found in a document."""
     wanted = windows(benchmark, size)
     few = len(wanted.select("hash").take(FEW + 1)) <= FEW
-    words = with_words(docs, "doc_id").select("doc_id", "words", "template", F.posexplode("template").alias("p", "word"), F.lit(0).alias("skipped"))
+    # Templates are never empty; the outer form keeps Spark from filtering by their size first, with all the patterns once more.
+    words = with_words(docs, "doc_id").select("doc_id", "words", "template", F.posexplode_outer("template").alias("p", "word"), F.lit(0).alias("skipped"))
     words = words.withColumn("anchor", F.xxhash64("word", F.get("template", F.col("p") + 1))).drop("word")
     side = F.broadcast(wanted) if few else wanted
     if not few:  # a shuffle must not carry whole texts along with every word
@@ -89,8 +109,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: floa
     begin = F.greatest(at, F.lit(0)) + 1
     mine, template = F.slice("words", begin, F.col("width")), F.slice("template", begin, F.col("width"))
     inside = (at >= 0) & (at + F.col("width") <= F.size("template"))
-    hits = words.join(side, "anchor").where(F.when(inside, _hash(template)) == F.col("hash"))
-    lying = hits.select("doc_id", "item_id", "n_windows", "no", (F.col("skipped") + at - F.col("no")).alias("lie"), _pairs(F.col("slots"), mine, template).alias("pairs"))
+    near = words.join(side, "anchor").where(inside).select("doc_id", "item_id", "n_windows", "no", "slots", "hash", "named_hash", (F.col("skipped") + at - F.col("no")).alias("lie"), mine.alias("mine"), template.alias("template"))
+    alike = _hash(F.col("template")) == F.col("hash")
+    near = near.withColumn("mine", _slots(F.col("mine")))
+    near = near.withColumn("form", F.when(alike, F.col("template")).otherwise(_named(F.col("mine"), F.col("template"))))
+    equal = (_hash(F.col("form")) == F.col("hash")) | (_hash(F.col("form")) == F.col("named_hash"))
+    # Always true, but of a kind that Spark leaves where it stands: as a condition of the join it would be tried with whole texts in each row.
+    hits = near.where(F.when(F.monotonically_increasing_id() >= 0, equal))
+    lying = hits.select("doc_id", "item_id", "n_windows", "no", "lie", _pairs(F.col("slots"), F.col("mine"), F.col("form")).alias("pairs"))
     occurrences = lying.groupBy("doc_id", "item_id", "n_windows", "lie").agg(F.collect_set("no").alias("nos"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda x: x[c])))
     consistent = (F.size("pairs") == one("a")) & (F.size("pairs") == one("b"))
