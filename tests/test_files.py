@@ -54,6 +54,7 @@ def test_command_over_drifting_files(spark, months):
     r = got[0]
     assert (r.pickup_zone, r.dropoff_borough, r.dropoff_zone, r.trip_duration_us, r.pickup_hour) == ("Zone", "N/A", "Unknown", 1_800_000_000, 4)
     assert (r.avg_speed_mph, r.fare_per_mile, r.fare_per_minute) == (7.0, 4.0, round(14 / 30, 6))
+    assert "Scan parquet" in (months / "run_plan.txt").read_text() and record["resources"]["samples"] >= 1
     assert record["output"]["rows"] == 4 and json.loads((months / "run.json").read_text())["input"]["rows"] == 10
     with pytest.raises(FileExistsError):
         main(args)
@@ -116,6 +117,28 @@ def test_buckets_samples_and_records(spark, tmp_path):
     assert s.rows and metrics.environment(spark)["spark"]
 
 
+def test_dimension_rows_and_tunables(spark):
+    got = files.rows_dimension(spark, [(1, "a", " ", None), (2, "b", "c", "d")], "LocationID int, Borough string, Zone string, service_zone string").orderBy("LocationID").collect()
+    assert [tuple(r) for r in got] == [(1, "a", "Unknown", "Unknown"), (2, "b", "c", "d")]
+    need = ["--data-dir", "x", "--zones", "y", "--output", "z"]
+    for bad in (["--months", "10"], ["--partitions", "0"], ["--batch-rows", "0"], ["--batch-rows", "many"]):
+        with pytest.raises(SystemExit):
+            main(need + bad)
+
+
+def test_file_statistics_of_drifting_files(spark, months):
+    paths = files.month_files(str(months), 3)
+    got = {r.path: (r.rows, r.bytes) for r in files.file_statistics(spark, paths).collect()}
+    assert got == {p: (pq.read_metadata(p).num_rows, (months / p.rsplit("/", 1)[1]).stat().st_size) for p in paths}
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "`a.b` int, _bucket int")
+    assert dedup.bucketed_distinct(df, 4).count() == 2 and dedup.bucketed_distinct(df).columns == df.columns
+    assert dedup.duplicate_groups(df).count() == 1 and verify.null_rows(df).count() == 0
+    assert verify.report(df, df)["duplicate_groups"] == 2 and verify.fingerprint(df).first()["distinct_hashes"] == 2
+
+
 def test_stream_takes_each_row_once(spark, months):
     contract = trip_contract(3)
     schema = spark.read.parquet(str(months / "yellow_tripdata_2023-03.parquet")).schema

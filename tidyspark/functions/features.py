@@ -7,9 +7,11 @@ native ones round with ``rint(x * 1e6) / 1e6``, which differs in the last kept d
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +57,19 @@ def native_features(distance: Column, fare: Column, micros: Column, rounded: boo
     return {k: (_round6(v) if rounded else v).alias(k) for k, v in found.items()}
 
 
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 65_536) -> DataFrame:
+    """function applied to Arrow batches of at most ``rows`` rows of df."""
+    if rows < 1:
+        raise ValueError("a batch has at least one row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield function(batch.slice(at, rows))
+
+    return df.mapInArrow(run, schema)
+
+
 @F.pandas_udf(T.DoubleType())
 def identity(x: pd.Series) -> pd.Series:
     return x

@@ -13,8 +13,9 @@ def distinct(df: DataFrame) -> DataFrame:
 
 def bucketed_distinct(df: DataFrame, buckets: int = 256) -> DataFrame:
     """The same rows, routed by a hash bucket that stays out of the result. Equality of rows decides, the hash only routes."""
-    routed = df.withColumn("_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(buckets)))
-    return routed.repartition(buckets, "_bucket").dropDuplicates(["_bucket", *df.columns]).drop("_bucket")
+    names = [f"c{i}" for i in range(len(df.columns))]  # columns go by place: their own names may hold dots or repeat _bucket
+    routed = df.toDF(*names).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+    return routed.repartition(buckets, "_bucket").dropDuplicates(["_bucket", *names]).select(*names).toDF(*df.columns)
 
 
 def bucket_ranges(buckets: int, partitions: int) -> list[int]:
@@ -26,4 +27,4 @@ def bucket_ranges(buckets: int, partitions: int) -> list[int]:
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Each row that is there more than once, with ``copies``."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return df.groupBy(*(F.col(f"`{c}`") for c in df.columns)).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")

@@ -79,6 +79,13 @@ def peak_of_sums(samples: DataFrame, at: str, value: str, first=None, last=None)
     return inside.groupBy(at).agg(F.sum(value).alias("total")).agg(F.max("total").alias("peak"))
 
 
+def sampled_peaks(spark: SparkSession, sampler: Sampler) -> dict:
+    """Samples, peak CPU (cores in use) and peak memory in bytes of a finished sampler; an error if samples are missing."""
+    samples = require_complete(spark.createDataFrame(sampler.rows, "epoch double, name string, usage double, memory long"), "epoch", "name", [sampler.name])
+    cpu = peak_of_sums(rates(samples, "name", "epoch", "usage"), "epoch", "rate").first()["peak"]
+    return {"samples": len(sampler.rows), "peak_cores": cpu, "peak_bytes": peak_of_sums(samples, "epoch", "memory").first()["peak"]}
+
+
 def require_complete(samples: DataFrame, at: str, by: str, names: list[str]) -> DataFrame:
     """samples, if every time has each name once; a gap would make peaks too low."""
     bad = samples.groupBy(at).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(by).alias("k")).where((F.col("n") != len(names)) | (F.col("k") != len(names)))

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import duplicate_groups
-
 
 def schema_differences(a: DataFrame, b: DataFrame) -> list[tuple[str, str]]:
     """(column, type) pairs that one of the two has, nullability aside."""
@@ -42,10 +40,28 @@ def empty_like(df: DataFrame) -> DataFrame:
 
 def bucketed_report(a: DataFrame, b: DataFrame, column: str, buckets: int = 128) -> DataFrame:
     """Rows of both sides, and surplus rows of each, by hash bucket of a column. Every row falls in one bucket."""
-    bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).alias("bucket")
-    sides = [(a, "rows_a"), (b, "rows_b"), (a.exceptAll(b), "surplus_a"), (b.exceptAll(a), "surplus_b")]
-    counted = reduce(DataFrame.unionByName, (df.select(bucket, F.lit(name).alias("what")) for df, name in sides))
-    return counted.groupBy("bucket").agg(*(F.count_if(F.col("what") == name).alias(name) for _, name in sides))
+    names = [f"c{i}" for i in range(len(a.columns))]
+    key = F.col(names[a.columns.index(column)])
+    sided = lambda df, k: df.select(*(F.col(f"`{c}`") for c in a.columns)).toDF(*names).select("*", F.lit(k).alias("in_b"))
+    equal = sided(a, 0).unionByName(sided(b, 1)).groupBy(*names).agg(F.count_if(F.col("in_b") == 0).alias("n"), F.count_if(F.col("in_b") == 1).alias("m"))
+    surplus = lambda x, y: F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0)))
+    return equal.groupBy(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("rows_a"), F.sum("m").alias("rows_b"), surplus("n", "m").alias("surplus_a"), surplus("m", "n").alias("surplus_b"))
+
+
+def counted_report(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: rows_a, rows_b, surplus_a, surplus_b, null_rows, duplicate_groups, from one signed count of equal rows.
+
+    Each side is read once and shuffled once, as partial counts. The relations must have the same schema.
+    """
+    names = [f"c{i}" for i in range(len(a.columns))]
+    sided = lambda df, k: df.toDF(*names).select("*", F.lit(k).alias("in_b"))
+    equal = sided(a, 0).unionByName(sided(b, 1)).groupBy(*names).agg(F.count_if(F.col("in_b") == 0).alias("n"), F.count_if(F.col("in_b") == 1).alias("m"))
+    some_null = reduce(lambda x, y: x | y, (F.col(c).isNull() for c in names))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return equal.agg(
+        total(F.col("n")).alias("rows_a"), total(F.col("m")).alias("rows_b"), total(F.greatest(F.col("n") - F.col("m"), F.lit(0))).alias("surplus_a"), total(F.greatest(F.col("m") - F.col("n"), F.lit(0))).alias("surplus_b"),
+        total(F.when(some_null, F.col("n") + F.col("m")).otherwise(0)).alias("null_rows"), (F.count_if(F.col("n") > 1) + F.count_if(F.col("m") > 1)).alias("duplicate_groups"),
+    )
 
 
 def report(a: DataFrame, b: DataFrame) -> dict:
@@ -53,11 +69,7 @@ def report(a: DataFrame, b: DataFrame) -> dict:
 
     Equal means: same schema, as many rows on both sides and at least one, no surplus, no null, no duplicate.
     """
-    found = {"same_schema": same_schema(a, b), "rows_a": a.count(), "rows_b": b.count()}
-    if found["same_schema"]:
-        surplus = {r["side"]: r["n"] for r in multiset_diff(a, b).groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-        found |= {"surplus_a": surplus.get("a", 0), "surplus_b": surplus.get("b", 0), "null_rows": null_rows(a).count() + null_rows(b).count(), "duplicate_groups": duplicate_groups(a).count() + duplicate_groups(b).count()}
-        found["equal"] = found["rows_a"] == found["rows_b"] > 0 and not any(found[k] for k in ("surplus_a", "surplus_b", "null_rows", "duplicate_groups"))
-    else:
-        found["equal"] = False
-    return found
+    if not same_schema(a, b):
+        return {"same_schema": False, "rows_a": a.count(), "rows_b": b.count(), "equal": False}
+    found = {"same_schema": True} | counted_report(a, b).first().asDict()
+    return found | {"equal": found["rows_a"] == found["rows_b"] > 0 and not any(found[k] for k in ("surplus_a", "surplus_b", "null_rows", "duplicate_groups"))}

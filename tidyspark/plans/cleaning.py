@@ -72,7 +72,7 @@ def clean_trips(raw: DataFrame, zones: DataFrame, months: int, cast: bool = Fals
 
 def run(spark: SparkSession, data_dir: str, zones_path: str, months: int, output: str, metrics: str | None = None, **how) -> dict:
     """Files to a new Parquet folder and a run record."""
-    from ..operators.metrics import environment, timed
+    from ..operators.metrics import Sampler, environment, sampled_peaks, timed
     from ..sources import files, sinks
 
     paths = files.require(spark, files.month_files(data_dir, months))
@@ -80,11 +80,14 @@ def run(spark: SparkSession, data_dir: str, zones_path: str, months: int, output
     sinks.guard_new(spark, output)
     zones = files.read_dimension(spark, zones_path)
     record: dict = {}
-    with timed(record):
+    with Sampler() as sampler, timed(record):
         plan = clean_trips(files.read_contract(spark, paths, trip_contract(months)), zones, months, cast=True, **how)
+        text = sinks.plan_text(plan)
         sinks.write_parquet(plan, output)
     total = before.agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
     record |= {"input": {"files": len(paths), "rows": total["rows"], "bytes": total["bytes"]}, "output": sinks.inspect_output(spark, output), "environment": environment(spark)}
     if metrics:
+        record["resources"] = sampled_peaks(spark, sampler)
         sinks.write_record(metrics, record)
+        sinks.write_text(metrics.removesuffix(".json") + "_plan.txt", text)
     return record

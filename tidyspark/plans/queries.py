@@ -242,9 +242,13 @@ def null_rows(spark, sf_dir):
     return verify.null_rows(line(spark, sf_dir).select("l_orderkey", "l_linenumber", every(13, F.lit(None), F.col("l_quantity")).alias("q")))
 
 
-@query()
+@query(f"""
+    WITH a AS (SELECT {LINE} FROM lineitem UNION ALL SELECT {LINE} FROM lineitem WHERE l_orderkey % 5 = 0)
+    SELECT (SELECT count(*) FROM a) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM a)) AS distinct_hashes
+""")
 def relation_fingerprint(spark, sf_dir):
-    return verify.fingerprint(line(spark, sf_dir))
+    """Rows and distinct row hashes; the sum of hashes is another one in every engine, and tested apart."""
+    return verify.fingerprint(_doubled(spark, sf_dir)).select("rows", "distinct_hashes")
 
 
 @query("SELECT count(*) AS rows, count(*) AS rows_shuffled, true AS same FROM lineitem")
@@ -261,6 +265,16 @@ def schema_report(spark, sf_dir):
     return spark.createDataFrame(found, "name string, type string")
 
 
+@query(f"""
+    WITH a AS (SELECT {LINE} FROM lineitem UNION ALL SELECT {LINE} FROM lineitem WHERE l_orderkey % 5 = 0), b AS (SELECT {LINE} FROM lineitem WHERE l_orderkey % 7 <> 0)
+    SELECT (SELECT count(*) FROM a) AS rows_a, (SELECT count(*) FROM b) AS rows_b, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS surplus_a,
+           (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS surplus_b, 0::BIGINT AS null_rows,
+           (SELECT count(*) FROM (SELECT 1 FROM a GROUP BY {LINE} HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT 1 FROM b GROUP BY {LINE} HAVING count(*) > 1)) AS duplicate_groups
+""")
+def equivalence_report(spark, sf_dir):
+    return verify.counted_report(_doubled(spark, sf_dir), line(spark, sf_dir).where("l_orderkey % 7 != 0"))
+
+
 @query("SELECT l_orderkey, l_quantity FROM lineitem LIMIT 0")
 def empty_relation(spark, sf_dir):
     return verify.empty_like(line(spark, sf_dir).select("l_orderkey", "l_quantity"))
@@ -340,11 +354,37 @@ def trip_features_udf(spark, sf_dir):
     return clean_trips(spark, sf_dir).withColumn("f", feat.features(None)(*_inputs())).select("vendor", "started", "f.*")
 
 
+SQL_EXACT = "CAST(format('{{:.6f}}', {}) AS DOUBLE)"
+
+
+@query(f"""
+    SELECT vendor, started, {SQL_EXACT.format(f"distance * 3.6e9::DOUBLE / {SQL_MICROS}::DOUBLE")} AS avg_speed_mph, {SQL_EXACT.format("fare / distance")} AS fare_per_mile,
+           {SQL_EXACT.format(f"fare * 6e7::DOUBLE / {SQL_MICROS}::DOUBLE")} AS fare_per_minute FROM ({SQL_CLEAN})
+""")
+def trip_features_rounded_udf(spark, sf_dir):
+    """The exact features: rounded to six digits as Python does, which is what printing six digits gives."""
+    return clean_trips(spark, sf_dir).withColumn("f", feat.features()(*_inputs())).select("vendor", "started", "f.*")
+
+
 @query(_features(False))
 def trip_features_plain_udf(spark, sf_dir):
     return clean_trips(spark, sf_dir).withColumn("f", feat.plain_features(None)(*_inputs())).select("vendor", "started", "f.*")
 
 
+@query(f"SELECT vendor, line, fare / distance AS fare_per_mile FROM ({SQL_CLEAN})")
+def batch_map(spark, sf_dir):
+    """A function of Arrow batches of bounded rows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def divide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("vendor"), batch.column("line"), pc.divide(batch.column("fare"), batch.column("distance"))], ["vendor", "line", "fare_per_mile"])
+
+    rows = clean_trips(spark, sf_dir).select("vendor", "line", "fare", "distance")
+    kinds = dict(rows.dtypes)
+    return feat.map_batches(rows, divide, f"vendor {kinds['vendor']}, line {kinds['line']}, fare_per_mile double", 4096)
+
+
 @query("SELECT l_orderkey, l_quantity AS q FROM lineitem")
 def identity_udf(spark, sf_dir):
     return line(spark, sf_dir).select("l_orderkey", feat.identity("l_quantity").alias("q"))

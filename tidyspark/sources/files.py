@@ -81,26 +81,41 @@ def unique_key(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def rows_dimension(spark: SparkSession, rows: list[tuple], columns: str, **how) -> DataFrame:
+    """The same of rows in memory; columns: their names and types."""
+    return validated_dimension(spark.createDataFrame(rows, columns), **how)
+
+
 def read_dimension(spark: SparkSession, path: str, key: str = "LocationID", labels: tuple[str, ...] = ("Borough", "Zone", "service_zone")) -> DataFrame:
     """A CSV dimension with a positive integral unique key and labels without blanks."""
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    return validated_dimension(spark.read.csv(path, header=True, inferSchema=False), key, labels)
+
+
+def validated_dimension(raw: DataFrame, key: str = "LocationID", labels: tuple[str, ...] = ("Borough", "Zone", "service_zone")) -> DataFrame:
+    """A dimension with a positive integral unique key and labels without blanks."""
     if missing := [c for c in (key, *labels) if c not in raw.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     number = F.col(key).try_cast("double")
     bad = F.count_if(F.coalesce(~((number > 0) & (F.rint(number) == number)), F.lit(True)))
     if n := raw.agg(bad.alias("n")).first()["n"]:
-        raise ValueError(f"{n} rows of {path} lack a positive integral {key}")
-    return unique_key(raw.select(number.try_cast("bigint").alias(key), *(label(F.col(c)).alias(c) for c in labels)), key)
+        raise ValueError(f"{n} rows of the dimension lack a positive integral {key}")
+    return unique_key(raw.select(number.try_cast("bigint").alias(key), *(label(F.col(c).cast("string")).alias(c) for c in labels)), key)
 
 
 def file_statistics(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, rows and bytes of Parquet files; rows come from footers, bytes from the file system."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    found = []
-    for path in require(spark, paths):
-        system, there = _file_system(spark, path)
-        found.append((path, spark.read.parquet(path).count(), system.getContentSummary(there).getLength()))
-    return spark.createDataFrame(found, "path string, rows long, bytes long")
+    # One listing and one scan that reads no column, whatever the number of files and however their schemas drift. Paths are
+    # folders or files, as given or as Spark qualifies them.
+    wanted = spark.createDataFrame([(p, p.rstrip("/")) for p in require(spark, paths)], "path string, _end string")
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(paths).select(F.col("path").alias("_file"), F.col("length").alias("bytes"))
+    rows = spark.read.schema("`_no_column` int").option("recursiveFileLookup", True).parquet(*paths).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("rows"))
+    plain = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/+", "/")
+    files_ = sizes.select(plain(F.col("_file")).alias("_file"), "bytes").join(rows.select(plain(F.col("_file")).alias("_file"), "rows"), "_file", "left")
+    # A file belongs to its own path and to every folder above it.
+    parts = F.split("_file", "/")
+    above = files_.select("rows", "bytes", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("_own"))
+    joined = wanted.withColumn("_own", plain(F.col("_end"))).join(above, "_own")
+    return joined.groupBy("path").agg(F.sum(F.coalesce("rows", F.lit(0))).alias("rows"), F.sum("bytes").alias("bytes"))
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,11 +50,17 @@ def inspect_output(spark: SparkSession, path: str) -> dict:
     return {"rows": total["rows"], "files": len(files), "bytes": total["bytes"]}
 
 
+def write_text(path: str, text: str) -> None:
+    """A text file on the driver, its folder made if need be."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
 def write_record(path: str, record: dict) -> None:
-    """A JSON document; NaN and infinities are errors."""
-    text = json.dumps(record, indent=2, allow_nan=False, default=str)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text + "\n")
+    """A run's JSON document; numbers that JSON lacks are refused."""
+    write_text(path, f"{json.dumps(record, indent=2, allow_nan=False, default=str)}\n")
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:
