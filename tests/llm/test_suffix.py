@@ -55,7 +55,19 @@ def test_equals_brute_force(spark, monkeypatch, piece):
 
 
 def test_edge_cases(spark):
-    docs = spark.createDataFrame([(1, "b" * 120), (1, "a" * 120), (2, "a" * 120)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.dedup_digest(docs).collect()}
-    assert got == {1: (120, 119), 2: (120, 120)}
+    """Each row counts, whatever ids repeat: (1, a) twice is one document and two rows, (1, b) is another."""
+    docs = spark.createDataFrame([(1, "b" * 120), (1, "a" * 120), (1, "a" * 120), (2, "a" * 120), (None, None), (None, "c" * 120)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.dedup_digest(docs).collect()), key=str)
+    assert got == sorted([(1, 120, 119, 1)] * 3 + [(2, 120, 120, 1), (None, 0, 0, 0), (None, 120, 119, 1)], key=str)
     assert suffix.dedup_digest(docs.limit(0)).count() == 0
+
+
+def test_classes_are_equal_for_equal_strings():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, 3000).astype(np.uint8)
+    for length in (32, 100):
+        text[700:900] = text[100:300]
+        at = np.arange(len(text) - length + 1)
+        found = suffix._classes(text, at, length)
+        want = [bytes(text[i : i + length]) for i in at]
+        assert len(set(found.tolist())) == len(set(want)) == len(set(zip(found.tolist(), want)))

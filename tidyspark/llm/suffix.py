@@ -7,13 +7,14 @@ under one anchor are one run, and a run is what is compared: by the hash of its
 1. Anchors that are there once are dropped; the other runs stay as a table.
 2. Runs that are equal as a whole: all but the first place are repeats, found by a pre-aggregated first place and a plain join.
 3. Anchors with several different runs: the first place of each different run is cut out of its document, and in shards by
-   anchor all windows are put into a suffix array of depth ``length``; of equal windows all but the first are repeats.
+   anchor all windows are ranked by doubling, as in building a suffix array, up to ``length``; of equal windows all but the first are repeats.
 
 A passage that many documents share is thus one run of step 3, however often it is there. This replaces the run-length
 compressed index that the operator is named for; the README says why.
 
-Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that share a doc_id count as one
-document with the least of their texts, and give one row; a null doc_id comes before all others; other columns play no part.
+Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; every input row gives one output row: rows that
+repeat both doc_id and text are one document, rows that repeat only doc_id are documents of their own, in the order of their texts; a
+null doc_id comes before all others; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -116,6 +117,16 @@ def _cut_out(length: int):
     return run
 
 
+def _classes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Numbers that are equal for equal strings text[at : at + length]: ranks of 8 bytes, doubled up to half of length and more."""
+    eight = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(7, np.uint8)], 8)
+    rank, width = np.unique(np.ascontiguousarray(eight).view(np.uint64).ravel(), return_inverse=True)[1], 8
+    while 2 * width <= length:
+        behind = np.r_[rank[width:], np.zeros(min(width, len(rank)), np.int64)]
+        rank, width = np.unique(rank * (len(rank) + 1) + behind, return_inverse=True)[1], 2 * width
+    return rank[at] * (len(rank) + 1) + rank[at + length - width]
+
+
 def _repeats(length: int):
     """Of the windows of a shard, those that are there earlier, as runs."""
 
@@ -131,9 +142,8 @@ def _repeats(length: int):
         place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
         if not len(of):
             return pa.table({"doc_id": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "n": pa.array([], pa.int32())})
-        # A suffix array of depth length: equal windows stand together, each known by its first place.
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[starts[of] + place])
-        _, first, rank = np.unique(windows.view(f"V{length}").ravel(), return_index=True, return_inverse=True)
+        # Equal windows share a class, known by its first place.
+        _, first, rank = np.unique(_classes(text, starts[of] + place, length), return_index=True, return_inverse=True)
         again = first[rank] != np.arange(len(of))
         same = np.r_[False, of[1:] == of[:-1]]
         begin = np.flatnonzero(again & ~(np.r_[False, again[:-1]] & same))
@@ -193,7 +203,11 @@ def dedup_digest(docs: DataFrame, length: int = 100) -> DataFrame:
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = texts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("k")).first()
-    if counts["n"] != counts["k"]:
-        texts = cut(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
+    if counts["n"] != counts["k"]:  # documents get numbers in the order of doc_id and text
+        told = texts.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).orderBy(F.asc_nulls_first("doc_id"), "text")
+        told = cut(told.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", "n"), "documents")
+        found = dedup_digest(told.select(F.col("id").alias("doc_id"), "text"), length).withColumnRenamed("doc_id", "id")
+        each = told.select("id", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+        return each.join(found, "id").drop("id", "copy")
     spans = cut(marked(texts, length), "marked")
     return _with(texts, spans.select("doc_id", F.struct("s", "n").alias("r")), "left").mapInArrow(_finish(length), DIGEST)
