@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch, temporary
 
 #: Nodes of a leaf, at most, and of a block, about; vectors on which a tree is fitted; queries of a group; bands at most.
 LEAF, BLOCK, SAMPLE, GROUP, BANDS = 1024, 2048, 16_384, 384, 16
@@ -457,6 +457,12 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, top: int, bea
 def nearest(vectors: DataFrame, every: int = 20, top: int = 20, key: str = "vec_id", vector: str = "embedding", k: int = 32, beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score: the ``top`` nearest rows found for each row whose key is divisible by ``every``."""
     spark: SparkSession = vectors.sparkSession
+    path = scratch(spark, "nearest")
+    with temporary(spark):
+        return cut(_nearest(vectors, every, top, key, vector, k, beam), "nearest", path)
+
+
+def _nearest(vectors: DataFrame, every: int, top: int, key: str, vector: str, k: int, beam: int | None) -> DataFrame:
     rows = cut(valid(vectors, key, vector).withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit(1), F.col("vec"))}), "vectors")
     # Members of a node beyond its first top + 1 can't be among any query's top.
     place = Window.partitionBy("k1", "k2").orderBy("id")

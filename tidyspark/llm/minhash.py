@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, partitions
+from .common import bounded_batches, cut, partitions, scratch, temporary, tidy
 
 COORDINATES, FINE = 48, 2048
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>"
@@ -161,6 +161,17 @@ def _confirm(percent: int):
     return run
 
 
+def _alike(fine_match: int):
+    """Pairs with both sketches to those that collide often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE // 2) for c in ("fine_a", "fine_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(_EQUAL_HALVES[x ^ y].sum(1, dtype=np.int64) >= fine_match, pa.bool_()))
+
+    return run
+
+
 def components(edges: DataFrame, passes: int | None = None) -> DataFrame:
     """node and component (its smallest reachable node) of every end of the edges (a, b): labels pass along edges and jump.
 
@@ -277,7 +288,7 @@ def _meet(match: int, fine_match: int):
     return run
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, rounds: int = 10, settled: float = 0.002, block: int | None = None) -> DataFrame:
+def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int, rounds: int = 6, settled: float = 0.002, block: int | None = None) -> DataFrame:
     """node and component of the classes (rep, signature) that are linked with another one.
 
     rounds and settled (a share of the classes) end the stars; they spare pairs and don't change the result.
@@ -287,29 +298,37 @@ def link_classes(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     active = cut(_posted(classes, match), "posted")
     sets = cut(docs.join(active, docs["doc_id"] == active["rep"]).select("rep", "tokens", "text").mapInArrow(_sets(width), SETS), "sets")
     postings = active.select(F.explode("tokens").alias("token"), "rep", "shared")
+    tidy(spark)
     links, found, n = [], None, active.count()
     lists = postings.withColumns({"c": F.col("rep"), "size": F.lit(1)})
     while found is None or len(links) < 2 or found > settled * n and len(links) < rounds:
         by = F.col("shared") if found is None else F.struct("size", F.xxhash64("rep", F.lit(len(links))))
-        links.append(cut(_confirmed(_stars(lists, by), sets, percent), "links"))
+        near = cut(_both(_stars(lists, by), sets, "fine").mapInArrow(_alike(fine_match), "a long, b long"), "near")
+        links.append(cut(_confirmed(near, sets, percent), "links"))
         found = links[-1].count()
+        tidy(spark)
         labels = components(reduce(DataFrame.unionByName, links))
         sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         labels = cut(labels.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("c"), "size"), "labels")
         lists = postings.join(labels, "rep", "left").select("token", "rep", "shared", F.coalesce("c", "rep").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
     lists = cut(lists, "lists")
+    tidy(spark)
     met = _open_blocks(lists, block or BLOCK).join(sets.drop("shingles"), "rep")
     met = met.repartition(partitions(spark), "token", "x", "y").sortWithinPartitions("token", "x", "y")
     pairs = cut(met.select("token", "x", "y", "i", "rep", "c", "mask", "coarse", "fine").mapInArrow(_meet(match, fine_match), "a long, b long"), "pairs")
+    tidy(spark)
     links.append(cut(_confirmed(pairs, sets, percent), "links"))
     return components(reduce(DataFrame.unionByName, links))
 
 
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    of = lambda end: sets.select(F.col("rep").alias(end), F.col(column).alias(f"{column}_{end}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    of = lambda end: sets.select(F.col("rep").alias(end), F.col("shingles").alias(f"shingles_{end}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), "a long, b long")
+    return _both(pairs, sets, "shingles").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -324,7 +343,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("signature", "doc_id").alias("signature"), F.max("doc_id").alias("last"))
     classes = cut(classes, "classes")
-    labels = link_classes(classes, texts, width, percent)
+    path = scratch(spark, "linked")
+    with temporary(spark):
+        labels = cut(link_classes(classes, texts, width, percent), "linked", path)
     # Classes of one document that are linked with nothing are their own component, and need no join.
     homes = classes.join(labels, classes["rep"] == labels["node"], "left").where("last != rep or component is not null")
     homes = homes.select("k1", "k2", F.coalesce("component", "rep").alias("home")).withColumn("n_home", F.lit(1))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, scratch, temporary
 
 #: A sentence of so many words is a run of its own.
 LONG = 40
@@ -119,10 +119,11 @@ def clean(docs: DataFrame, least_words: int = 16, ends: bool = False) -> DataFra
     """row (the input's columns but text), text without the removed sentences, n_sentences and n_removed of every row."""
     others = [c for c in docs.columns if c != "text"]
     text = F.col("text").cast("string")
-    spans = (
-        repeated_spans(docs, least_words, ends).groupBy("doc_id", "t")
-        .agg(F.collect_set(F.struct("pos", "n")).alias("spans")).withColumnsRenamed({"doc_id": "s_id", "t": "s_t"})
-    )
+    spark = docs.sparkSession
+    path = scratch(spark, "spans")
+    with temporary(spark):
+        lists = repeated_spans(docs, least_words, ends).groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+        spans = cut(lists.withColumnsRenamed({"doc_id": "s_id", "t": "s_t"}), "spans", path)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
     joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["s_id"]) & (rows["t"] == spans["s_t"]), "left").select("row", "text", "spans")
     kind = joined.schema["row"].dataType.simpleString()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, scratch, temporary
 
 GRAM = 32
 RUNS = "h long, c long, doc_id long, s long, n int"
@@ -209,5 +209,8 @@ def dedup_digest(docs: DataFrame, length: int = 100) -> DataFrame:
         found = dedup_digest(told.select(F.col("id").alias("doc_id"), "text"), length).withColumnRenamed("doc_id", "id")
         each = told.select("id", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
         return each.join(found, "id").drop("id", "copy")
-    spans = cut(marked(texts, length), "marked")
+    spark = docs.sparkSession
+    path = scratch(spark, "marked")
+    with temporary(spark):
+        spans = cut(marked(texts, length), "marked", path)
     return _with(texts, spans.select("doc_id", F.struct("s", "n").alias("r")), "left").mapInArrow(_finish(length), DIGEST)
