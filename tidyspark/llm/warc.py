@@ -9,6 +9,10 @@ side ever allocates a whole payload besides the row it came from.
 
 Payloads of at least ``least_revisit`` bytes that are equal (by SHA-1 and length) are stored once: with the largest key as
 response, with all others as revisit records that refer to it.
+
+Defined results: null payloads are empty ones; rows that tie for the largest key of a payload each hold it; rows that repeat a key with
+different payloads are records of their own; null keys are written as empty ones and never stand for others; an empty table gives empty archives
+and an empty result; payloads longer than a chunk become segments; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
