@@ -80,6 +80,18 @@ def test_names_at_the_start_of_sentences(spark):
     assert got == brute(docs, [(9, ask.format("Tom", "Tom"))]) and {g[0] for g in got} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_many_hits_in_a_long_text(spark, monkeypatch, few):
+    """What is looked up at a hit does not carry the text: 12,000 hits in a text of 2 MB fit in memory, and pieces lose no window on their borders."""
+    monkeypatch.setattr(decontam, "FEW", few)
+    question = "Many apples does Tom have left in the basket"
+    docs = [(1, " ".join(f"{'x ' * (i % 7)}apples does{i % 3 or ''} not matter at all here, " for i in range(18_000)) + question.replace("Tom", "Lucy")), (2, "apples does " * 20_000)]
+    docs += [(10 + i, "word " * i + question) for i in range(decontam.PIECE - 12, decontam.PIECE + 4)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, question)], "item_id long, text string")
+    got = {(r.doc_id, r.n_windows, r.n_found, r.changed) for r in decontam.matches(d, b).collect()}
+    assert got == {(1, 5, 5, True)} | {(doc_id, 5, 5, False) for doc_id, _ in docs[2:]}
+
+
 def test_clean_keeps_the_rest(spark):
     d, b = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     kept = decontam.clean(d, b)

@@ -9,9 +9,9 @@ slots, without punctuation around them. Windows that lie alike in the item and i
 the document are one occurrence; it counts if its slots are consistent, which means that equal slots of the item are equal in
 the document and the other way round; a question whose numbers or names were swapped throughout still matches.
 
-Only the windows of the benchmark are ever grouped or sent. Documents stay where they are read: their pairs of words are looked
+Only the windows of the benchmark are ever grouped or sent. Documents stay where they are read: in pieces of some words, their pairs of words are looked
 up among the windows' anchors (in each window the longest pair of neighbours, of words that are neither capitalised nor placeholders if it has such), and only around a
-hit is a window hashed and its second form made. The
+hit is a window hashed and its second form made. No row past the pieces holds a whole text, and memory holds the hits of one piece at a time. The
 windows are broadcast if a count proves them few, else both sides are joined by a shuffle on the anchor.
 
 An item is found in a document if at least ``coverage`` of its windows are. Defined results: items with fewer than five
@@ -34,6 +34,8 @@ UNITS = (
 ).split()
 #: More windows than this are not broadcast (some 60 bytes each).
 FEW = 200_000
+#: Words of a document that are looked up as one row.
+PIECE = 128
 
 
 def _even(text: Column) -> Column:
@@ -83,10 +85,24 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     anchored = measured.withColumn("offset", F.array_position(pairs, F.array_max(pairs)).cast("int") - 1)
     return anchored.select(
         "item_id", "no", F.col("n").alias("n_windows"), "width", "slots", "offset", F.xxhash64(F.get("template", F.col("offset")), F.get("template", F.col("offset") + 1)).alias("anchor"),
-        _hash(F.col("template")).alias("hash"), F.when(F.col("fixed"), _hash(F.col("named"))).alias("named_hash"),
+        _hash(F.col("template")).alias("hash"), F.when(F.col("fixed") & F.array_contains("named", "<name>"), _hash(F.col("named"))).alias("named_hash"),
     )
 
 
+def _pieces(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, start, reach, words, template and anchors of each piece: the pairs from word start on, with the words from reach on that windows over them hold."""
+    reach = lambda start: F.greatest(start - size + 1, F.lit(0))
+    around = lambda of, start: F.slice(of, reach(start) + 1, F.lit(PIECE + 2 * size))
+    # Generated code hands on the rows of a generator once it is through with its input, all of them in memory. So the first
+    # makes pieces (a text's length in all), and the lambdas, which are outside of generated code, give these one by one to the next.
+    # The outer form keeps Spark from filtering by the size of the array first, with all the patterns once more.
+    starts = F.sequence(F.lit(0), F.greatest(F.size("template") - 1, F.lit(0)), F.lit(PIECE))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("start"), around("words", i).alias("words"), around("template", i).alias("template")))
+    piece = with_words(docs, "doc_id").select("doc_id", F.explode_outer(cut).alias("piece")).select("doc_id", "piece.*").withColumn("reach", reach(F.col("start")))
+    own = lambda behind: F.slice("template", F.col("start") - F.col("reach") + 1 + behind, F.lit(PIECE))
+    return piece.withColumn("anchors", F.zip_with(own(0), own(1), lambda x, y: F.xxhash64(x, y)))
+
+
 def _pairs(mine: Column, theirs: Column, template: Column) -> Column:
     """The slots of two equal templates, pair by pair."""
     zipped = F.arrays_zip(mine.alias("a"), theirs.alias("b"), template.alias("t"))
@@ -97,25 +113,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = 5, coverage: floa
     """doc_id, item_id, n_windows, n_found, coverage and changed (slots differ somewhere) of each item found in a document."""
     wanted = windows(benchmark, size)
     few = len(wanted.select("hash").take(FEW + 1)) <= FEW
-    # Templates are never empty; the outer form keeps Spark from filtering by their size first, with all the patterns once more.
-    words = with_words(docs, "doc_id").select("doc_id", "words", "template", F.posexplode_outer("template").alias("p", "word"), F.lit(0).alias("skipped"))
-    words = words.withColumn("anchor", F.xxhash64("word", F.get("template", F.col("p") + 1))).drop("word")
+    words = _pieces(docs, size).select("doc_id", "start", "reach", "words", "template", F.posexplode_outer("anchors").alias("p", "anchor")).withColumn("p", F.col("start") + F.col("p"))
     side = F.broadcast(wanted) if few else wanted
-    if not few:  # a shuffle must not carry whole texts along with every word
-        reach = F.greatest(F.col("p") - size + 1, F.lit(0))
-        near = [F.slice(c, reach + 1, F.lit(2 * size)).alias(c) for c in ("words", "template")]
-        words = words.select("doc_id", "anchor", *near, (F.col("p") - reach).alias("p"), reach.alias("skipped"))
-    at = F.col("p") - F.col("offset")
-    begin = F.greatest(at, F.lit(0)) + 1
-    mine, template = F.slice("words", begin, F.col("width")), F.slice("template", begin, F.col("width"))
+    if not few:  # a shuffle must not carry a piece along with every word
+        narrow = F.greatest(F.col("p") - size + 1, F.lit(0))
+        near = [F.slice(c, narrow - F.col("reach") + 1, F.lit(2 * size)).alias(c) for c in ("words", "template")]
+        words = words.select("doc_id", "anchor", *near, "p", narrow.alias("reach"))
+    at = F.col("p") - F.col("reach") - F.col("offset")
     inside = (at >= 0) & (at + F.col("width") <= F.size("template"))
-    near = words.join(side, "anchor").where(inside).select("doc_id", "item_id", "n_windows", "no", "slots", "hash", "named_hash", (F.col("skipped") + at - F.col("no")).alias("lie"), mine.alias("mine"), template.alias("template"))
-    alike = _hash(F.col("template")) == F.col("hash")
-    near = near.withColumn("mine", _slots(F.col("mine")))
-    near = near.withColumn("form", F.when(alike, F.col("template")).otherwise(_named(F.col("mine"), F.col("template"))))
-    equal = (_hash(F.col("form")) == F.col("hash")) | (_hash(F.col("form")) == F.col("named_hash"))
-    # Always true, but of a kind that Spark leaves where it stands: as a condition of the join it would be tried with whole texts in each row.
-    hits = near.where(F.when(F.monotonically_increasing_id() >= 0, equal))
+    # The test is always true, but of a kind that Spark leaves where it stands: the windows are cut in the join's own code, and what follows gets no pieces.
+    window = lambda of: F.when(F.monotonically_increasing_id() >= 0, F.slice(of, F.greatest(at, F.lit(0)) + 1, F.col("width"))).alias(of)
+    near = words.join(side, "anchor").where(inside).select("doc_id", "item_id", "n_windows", "no", "slots", "hash", "named_hash", (F.col("reach") + at - F.col("no")).alias("lie"), window("words"), window("template"))
+    alike, named = _hash(F.col("template")) == F.col("hash"), _named(_slots(F.col("words")), F.col("template"))
+    hits = near.where(alike | (F.col("named_hash").isNotNull() & (_hash(named) == F.col("named_hash"))))
+    hits = hits.withColumn("mine", _slots(F.col("words"))).withColumn("form", F.when(alike, F.col("template")).otherwise(_named(F.col("mine"), F.col("template"))))
     lying = hits.select("doc_id", "item_id", "n_windows", "no", "lie", _pairs(F.col("slots"), F.col("mine"), F.col("form")).alias("pairs"))
     occurrences = lying.groupBy("doc_id", "item_id", "n_windows", "lie").agg(F.collect_set("no").alias("nos"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda x: x[c])))
